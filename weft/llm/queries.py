@@ -42,11 +42,28 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(n.taken, 0)::BIGINT A
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.warc import read_archives, write_archives
+
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix}
+    return {"op1_mix": op1_mix, "op6_warc": op6_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """By name: the same rows in DuckDB's SQL, where SQL can express them."""
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op6_warc": OP6_SQL}
