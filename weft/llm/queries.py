@@ -42,6 +42,14 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(n.taken, 0)::BIGINT A
 """
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.urls import RULES, judge_urls, seed_urls, train_url_model
+
+    model = train_url_model(seed_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, model, RULES).select("_row.page_id", "host", "path", "rule", "verdict")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.warc import read_archives, write_archives
 
@@ -61,7 +69,7 @@ FROM g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op6_warc": op6_warc}
+    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op6_warc": op6_warc}
 
 
 def oracle_sql() -> dict[str, str]:
