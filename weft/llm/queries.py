@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.session import table
 
@@ -50,6 +51,16 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, model, RULES).select("_row.page_id", "host", "path", "rule", "verdict")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.secrets import BASE, joined, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.warc import read_archives, write_archives
 
@@ -69,7 +80,7 @@ FROM g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op6_warc": op6_warc}
+    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc}
 
 
 def oracle_sql() -> dict[str, str]:
