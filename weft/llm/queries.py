@@ -78,9 +78,22 @@ FROM g
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.bpe import default_path, encode_documents
+
+    coded = encode_documents(table(spark, sf_dir, "documents"), default_path(), decoded=True)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc}
+    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
