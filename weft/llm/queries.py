@@ -91,11 +91,35 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)])
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS sh FROM d),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+u AS (SELECT doc_id, md5_number(unnest(sh)) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM u x JOIN u y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n_shingles + nb.n_shingles - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT id, min(reach) AS low FROM r GROUP BY id)
+SELECT n.doc_id, n.n_shingles, coalesce(m.low, n.doc_id) AS component_id, n.doc_id = coalesce(m.low, n.doc_id) AS kept
+FROM n LEFT JOIN m ON n.doc_id = m.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe}
+    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
     """By name: the same rows in DuckDB's SQL, where SQL can express them."""
-    return {"op1_mix": OP1_SQL, "op6_warc": OP6_SQL}
+    return {"op1_mix": OP1_SQL, "op6_warc": OP6_SQL, "op10_neardup": OP10_SQL}
