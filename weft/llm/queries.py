@@ -43,6 +43,13 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(n.taken, 0)::BIGINT A
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.quality import quality_rules, train_line_crf
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, train_line_crf(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.urls import RULES, judge_urls, seed_urls, train_url_model
 
@@ -117,7 +124,7 @@ FROM n LEFT JOIN m ON n.doc_id = m.id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
+    return {"op1_mix": op1_mix, "op2_quality": op2_quality, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
