@@ -18,9 +18,8 @@ SYMBOLS = b"#*$%&|<>"
 ASCII_UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
-ENDS = (b".", b"!", b"?", b":", b'"', b")", b"\xe2\x80\x9d", b"\xe3\x80\x82")
 
-FEATURES = ("bias", "symbols", "exclamations", "bars", "upper", "digits", "letters", "no_end", "few_words", "seen_before", "word_twice", "log_words")
+FEATURES = ("bias", "symbols", "exclamations", "bars", "upper", "digits", "letters", "few_words", "seen_before", "word_twice", "log_words")
 #: Least share of a document's words that stands in content lines.
 LEAST_CONTENT = 0.5
 #: Bounds of the training sample: labelled documents, and characters of one.
@@ -28,12 +27,13 @@ TRAIN_DOCS, TRAIN_CHARS = 1000, 10_000
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[float, ...]:
-    """Of a line with at least one word; all between 0 and about 1."""
+    """Of a line with at least one word: shares between 0 and 1, times the weight of a line of its length,
+    so that a long line isn't outvoted by short neighbours."""
     n = len(line)
     letters = n - sum(map(line.count, (b" ", b"\t"))) or 1
     size = len(words)
     alpha = len(line.translate(None, NOT_LETTERS))
-    return (
+    shares = (
         1.0,
         min(1.0, 5 * (n - len(line.translate(None, SYMBOLS))) / letters),
         min(1.0, 5 * line.count(b"!") / letters),
@@ -41,12 +41,13 @@ def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[float, .
         (n - len(line.translate(None, ASCII_UPPER))) / (alpha or 1),
         (n - len(line.translate(None, DIGITS))) / letters,
         alpha / letters,
-        0.0 if line.rstrip(SPACE).endswith(ENDS) else 1.0,
         1.0 if size < 4 else 0.0,
         1.0 if seen else 0.0,
         sum(map(bytes.__eq__, words[1:], words)) / size,
         min(1.0, math.log1p(size) / 6),
     )
+    weight = 0.5 + math.log1p(size) / 3
+    return tuple([weight * x for x in shares])
 
 
 @dataclass(frozen=True)
@@ -77,11 +78,12 @@ class LineCrf:
 
 
 #: What judges where there are no labels: hand-set, symbols, shouting, bars and stuttering against content.
-PRIOR = LineCrf((2.0, -6.0, -6.0, -6.0, -4.0, -3.0, 1.0, -0.5, -0.5, -1.0, -6.0, 0.5), ((0.5, -0.5), (-0.5, 0.5)))
+PRIOR = LineCrf((2.0, -6.0, -6.0, -6.0, -4.0, -3.0, 1.0, -0.5, -1.0, -6.0, 0.5), ((0.5, -0.5), (-0.5, 0.5)))
 
 
-def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 0.3, ridge: float = 1e-3) -> LineCrf:
-    """Maximum likelihood by gradient ascent with momentum, forward-backward over all documents at once.
+def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 0.5, ridge: float = 1e-2) -> LineCrf:
+    """Largest posterior under a Gaussian around PRIOR, by gradient ascent with momentum; forward-backward
+    runs over all documents at once.
     ``docs``: (lines, features); every line of a document has the document's label."""
     docs, labels = zip(*[(d, y) for d, y in zip(docs, labels, strict=True) if len(d)], strict=True)
     n, long, k = len(docs), max(map(len, docs)), len(FEATURES)
@@ -93,7 +95,8 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 80, rate: fl
     total = mask.sum()
     seen_t = np.array([[(inside & (y == 0)).sum(), 0], [0, (inside & (y == 1)).sum()]], float)
     seen_w = (x * (mask & (y == 1))[..., None]).sum((0, 1))
-    w, t, vw, vt = np.zeros(k), np.zeros((2, 2)), np.zeros(k), np.zeros((2, 2))
+    w0, t0 = np.array(PRIOR.weights), np.array(PRIOR.transitions)
+    w, t, vw, vt = w0.copy(), t0.copy(), np.zeros(k), np.zeros((2, 2))
     for _ in range(steps):
         emit = np.stack([np.zeros((long, n)), x @ w], axis=-1)
         fore, aft = np.zeros((long, n, 2)), np.zeros((long, n, 2))
@@ -108,8 +111,8 @@ def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 80, rate: fl
             aft[i] = np.where(mask[i + 1][:, None], step, 0.0)
         content = np.exp(fore[..., 1] + aft[..., 1] - z) * mask
         pair = np.exp(np.minimum(0.0, fore[:-1, :, :, None] + t + (emit[1:] + aft[1:])[:, :, None, :] - z[:, None, None])) * inside[..., None, None]
-        gw = (seen_w - (x * content[..., None]).sum((0, 1))) / total - ridge * w
-        gt = (seen_t - pair.sum((0, 1))) / total - ridge * t
+        gw = (seen_w - (x * content[..., None]).sum((0, 1))) / total - ridge * (w - w0)
+        gt = (seen_t - pair.sum((0, 1))) / total - ridge * (t - t0)
         vw, vt = 0.9 * vw + rate * gw * 3, 0.9 * vt + rate * gt
         w, t = w + vw, t + vt
     return LineCrf(tuple(map(float, w)), tuple(tuple(map(float, r)) for r in t))
