@@ -58,6 +58,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, model, RULES).select("_row.page_id", "host", "path", "rule", "verdict")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.secrets import BASE, joined, scan_secrets
 
@@ -124,7 +130,7 @@ FROM n LEFT JOIN m ON n.doc_id = m.id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op2_quality": op2_quality, "op3_urls": op3_urls, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
+    return {"op1_mix": op1_mix, "op2_quality": op2_quality, "op3_urls": op3_urls, "op4_html": op4_html, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
