@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where neither the session nor the context names a checkpoint folder (tests, local runs).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
@@ -32,3 +33,10 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def broadcast_if_few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, written out, with a broadcast hint if it has at most ``rows`` rows; beyond, Spark joins by a
+    shuffle.  For narrow tables."""
+    df = durable(df)
+    return F.broadcast(df) if df.count() <= rows else df
