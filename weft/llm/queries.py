@@ -91,6 +91,12 @@ FROM g
 """
 
 
+def op7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.lengths import encoded_lengths, length_histogram
+
+    return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.webp import read_media, store_texts
 
@@ -136,7 +142,7 @@ FROM n LEFT JOIN m ON n.doc_id = m.id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: every operator over its whole table."""
-    return {"op1_mix": op1_mix, "op2_quality": op2_quality, "op3_urls": op3_urls, "op4_html": op4_html, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op8_webp": op8_webp, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
+    return {"op1_mix": op1_mix, "op2_quality": op2_quality, "op3_urls": op3_urls, "op4_html": op4_html, "op5_secrets": op5_secrets, "op6_warc": op6_warc, "op7_lengths": op7_lengths, "op8_webp": op8_webp, "op9_bpe": op9_bpe, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
