@@ -51,3 +51,24 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, a:
     if vertices is None:
         return found
     return vertices.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def clusters_of(vertices: DataFrame, positive: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Predicted clusters: components of the positive pairs over all evaluated ids."""
+    return connected_components(positive, vertices, a, b)
+
+
+def common_neighbors(edges: DataFrame) -> DataFrame:
+    """(a, b, common): for each undirected edge (a, b), how many vertices are next to both; an equi-join on
+    the shared vertex, then on the edge."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    two = edges.join(both.toDF("a", "w"), "a").join(both.toDF("b", "w"), ["b", "w"]).groupBy("a", "b").count()
+    return edges.select("a", "b").join(two, ["a", "b"], "left").select("a", "b", F.coalesce("count", F.lit(0)).cast("long").alias("common"))
+
+
+def triangles(scored: DataFrame) -> DataFrame:
+    """(u, v, w, p_uv, p_vw, p_wu) with u < v < w for scored edges (a, b, score): each triangle once."""
+    uv = scored.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("score").alias("p_uv"))
+    vw = scored.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("score").alias("p_vw"))
+    uw = scored.select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("score").alias("p_wu"))
+    return uv.join(vw, "v").join(uw, ["u", "w"]).select("u", "v", "w", "p_uv", "p_vw", "p_wu")
