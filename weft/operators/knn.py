@@ -96,7 +96,7 @@ def knn(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embeddin
             inner = pa.record_batch([pa.array(ids), pa.array([x.tobytes()] + [None] * (len(ids) - 1), pa.binary()), *([pa.array(g)] if g is not None else [])], names=["id", "x", "g"][: 2 + (g is not None)])
             with pa.ipc.new_stream(sink, inner.schema) as w:
                 w.write_batch(inner)
-            return pa.table({"block": [b.column(0)[0].as_py()], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            return pa.table({"block": pa.array([b.column(0)[0].as_py()], pa.int32()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         packed = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), *rows.columns).groupBy("block").applyInArrow(pack, f"block int, data {width}")
 
