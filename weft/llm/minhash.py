@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.graph import connected_components
-from weft.session import bounded_batches, durable
+from weft.session import bounded_batches, broadcast_if_few, durable
 
 #: Words of a shingle.
 WIDTH = 5
@@ -26,6 +26,9 @@ LONGS = HASHES * BITS // 64
 LEAST_ESTIMATE = 0.6
 #: Ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: The wide signature of documents in buckets of several components: minima, and the least estimate, again
+#: six standard errors under 0.85.
+WIDE, LEAST_WIDE = 2048, 0.79
 #: Word hashes that a worker keeps.
 KEEP_WORDS = 500_000
 
@@ -33,6 +36,8 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _MIX = _rng.integers(1, 1 << 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, size=HASHES, dtype=np.uint64)
+_WA = _rng.integers(1, 1 << 63, size=WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WB = _rng.integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
 _BAND = _rng.integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, :]
 
@@ -76,17 +81,18 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     """The least value of each hash function over a set that isn't empty."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[i : i + 1024, None] * _A + _B).min(axis=0), out=least)
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, (1 << 17) // len(a))
+    for i in range(0, len(shingles), step):
+        np.minimum(least, (shingles[i : i + step, None] * a + b).min(axis=0), out=least)
     return least
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """Two bits of each minimum, packed into LONGS longs."""
-    low = ((least >> np.uint64(32)) & np.uint64(3)).reshape(LONGS, 32)
+    """Two bits of each minimum, packed into longs."""
+    low = ((least >> np.uint64(32)) & np.uint64(3)).reshape(-1, 32)
     return (low << _SHIFT).sum(axis=1, dtype=np.uint64)
 
 
@@ -123,13 +129,28 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, {sigs}, bands array<bigint>")
 
 
-def estimate(a: str, b: str) -> Column:
+def wide_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, w0, w1, …): WIDE minima of two bits of the documents in ``ids`` (rep)."""
+    names = [f"w{i}" for i in range(WIDE // 32)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = [packed(minima(s, _WA, _WB)) if len(s := shingle_set(t.as_py())) else np.zeros(WIDE // 32, np.uint64) for t in b.column(1)]
+            sig = np.array(sig, np.uint64).reshape(-1, WIDE // 32).view(np.int64)
+            yield pa.record_batch([b.column(0), *[pa.array(sig[:, i]) for i in range(WIDE // 32)]], names=["rep", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = texts_of(docs, ids.withColumnRenamed("rep", "_id"), id_col, text_col).mapInArrow(run, f"rep {kind}, " + ", ".join(f"{w} bigint" for w in names))
+    return durable(out.dropDuplicates(["rep"]))
+
+
+def estimate(a: str, b: str, letter: str = "s", hashes: int = HASHES) -> Column:
     """Similarity from the packed bits of two rows (column prefixes ``a`` and ``b``), corrected for the
     quarter of unequal minima whose two bits agree."""
-    x = [F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}")) for i in range(LONGS)]
+    x = [F.col(f"{a}{letter}{i}").bitwiseXOR(F.col(f"{b}{letter}{i}")) for i in range(hashes // 32)]
     differ = sum((F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555))) for v in x), F.lit(0))
     chance = 1 / 2**BITS
-    return ((1 - differ / HASHES) - chance) / (1 - chance)
+    return ((1 - differ / hashes) - chance) / (1 - chance)
 
 
 def possible(a: str, b: str, percent: int) -> Column:
@@ -138,14 +159,19 @@ def possible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(a, b) >= LEAST_ESTIMATE)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text) of the documents in ``ids`` (_id)."""
+    wanted = broadcast_if_few(ids, BROADCAST_IDS)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
     Sets are made anew from the texts of the documents in pairs; each travels once to each of its pairs.
     """
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi")
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    texts = texts_of(docs, ids, id_col, text_col)
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,6 +193,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
     return durable(both.select("a", "b", "_set_a", "_set_b").mapInArrow(check, f"a {kind}, b {kind}"))
 
 
+def meetings(rows: DataFrame, meta, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of rows (key, rep, comp) with one key and different components that sizes, estimate and
+    wide estimate leave open.  Rows outside their key's largest component meet all others; those inside it
+    don't meet each other, and keys with one component drop out.  The estimates are join conditions, so what
+    they rule out is never a row."""
+    tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("n_comps"))
+    some = durable(rows.join(tally.where("n_comps > 1").select("key", "major"), "key"))
+    wide = wide_signatures(docs, some.select("rep").distinct(), id_col, text_col)
+    ws = [w for w in wide.columns if w != "rep"]
+    side = lambda df, p, key, comp: df.join(meta(p, "rep"), "rep").join(wide.toDF("rep", *[p + w for w in ws]), "rep").withColumnsRenamed({"rep": key, "comp": comp})
+    left = side(some.where("comp <> major").drop("major"), "x", "a", "ca")
+    right = side(some.withColumn("is_major", F.col("comp") == F.col("major")).drop("major"), "y", "b", "cb")
+    wanted = (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent) & (estimate("x", "y", "w", WIDE) >= LEAST_WIDE)
+    met = left.join(right, (left["key"] == right["key"]) & wanted)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -179,9 +222,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
        components.
     3. A bucket may still hold several components, and links between members that are neither's smallest.
        In such a bucket the members outside its largest component meet every member of another component,
-       with sizes and estimate as join condition.  So every pair in a bucket is either in one component
-       already or looked at, without all pairs of a group ever being made, and no bucket has a cap.
-       What remains to miss a link is a pair without a common band.
+       with sizes and estimates, here also that of a wider signature, as join condition.  So every pair in a
+       bucket is in one component already or looked at, and no bucket has a cap; pairs that the estimates
+       rule out are compared but never made.  What remains to miss a link is a pair without a common band.
 
     Null text, or one without words: n_shingles 0, linked with nothing.  Rows repeating a doc_id are the
     same document.  A null doc_id is never a component's id unless its class has no other; it is kept then.
@@ -203,12 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = durable(connected_components(links, a="a", b="b"))
 
     label = members.join(found.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    tally = label.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("n_comps"))
-    open_rows = durable(label.join(tally.where("n_comps > 1").select("key", "major"), "key"))
-    left = open_rows.where("comp <> major").join(meta("x", "rep"), "rep").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), *[f"x{c}" for c in ("n", *sigs)])
-    right = open_rows.join(meta("y", "rep"), "rep").select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), (F.col("comp") == F.col("major")).alias("is_major"), *[f"y{c}" for c in ("n", *sigs)])
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent))
-    more = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = meetings(durable(label), meta, docs, percent, id_col, text_col)
     more = durable(more.join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         extra = confirm(more, docs, percent, id_col, text_col)
