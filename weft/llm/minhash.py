@@ -197,16 +197,17 @@ def meetings(rows: DataFrame, meta, docs: DataFrame, percent: int, id_col: str,
     """Pairs (a, b) of rows (key, rep, comp) with one key and different components that sizes, estimate and
     wide estimate leave open.  Rows outside their key's largest component meet all others; those inside it
     don't meet each other, and keys with one component drop out.  The estimates are join conditions, so what
-    they rule out is never a row."""
+    they rule out is never a row, and a pair of several common keys comes from the least of them only."""
     tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("n_comps"))
     some = durable(rows.join(tally.where("n_comps > 1").select("key", "major"), "key"))
     wide = wide_signatures(docs, some.select("rep").distinct(), id_col, text_col)
     ws = [w for w in wide.columns if w != "rep"]
-    side = lambda df, p, key, comp: df.join(meta(p, "rep"), "rep").join(wide.toDF("rep", *[p + w for w in ws]), "rep").withColumnsRenamed({"rep": key, "comp": comp})
+    side = lambda df, p, key, comp: df.join(meta(p, "rep", "bands"), "rep").join(wide.toDF("rep", *[p + w for w in ws]), "rep").withColumnsRenamed({"rep": key, "comp": comp})
     left = side(some.where("comp <> major").drop("major"), "x", "a", "ca")
     right = side(some.withColumn("is_major", F.col("comp") == F.col("major")).drop("major"), "y", "b", "cb")
     wanted = (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent) & (estimate("x", "y", "w", WIDE) >= LEAST_WIDE)
-    met = left.join(right, (left["key"] == right["key"]) & wanted)
+    once = F.array_min(F.array_intersect("xbands", "ybands")) == left["key"]
+    met = left.join(right, (left["key"] == right["key"]) & wanted & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sigs = [f"s{i}" for i in range(LONGS)]
     one = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
     reps = durable(one.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *sigs, "bands"))
-    meta = lambda p, key: reps.select(F.col("rep").alias(key), F.col("n").alias(f"{p}n"), *[F.col(s).alias(f"{p}{s}") for s in sigs])
+    meta = lambda p, key, *more: reps.select(F.col("rep").alias(key), F.col("n").alias(f"{p}n"), *[F.col(s).alias(f"{p}{s}") for s in (*sigs, *more)])
 
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
