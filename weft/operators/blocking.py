@@ -41,7 +41,7 @@ def merge_closest(members: DataFrame, metric: str = "centroid") -> DataFrame:
     return c.join(F.broadcast(pair.select("a", F.col("b").alias("component"))), "component", "left").select("id", F.coalesce("a", "component").alias("component"))
 
 
-def close_clusters(members: DataFrame, threshold: float, cells_per_dim: int = 0) -> DataFrame:
+def close_clusters(members: DataFrame, threshold: float) -> DataFrame:
     """(ca, cb): clusters, ca < cb, with centroids at most ``threshold`` apart.
 
     A bound from one reference point cuts the pairs: centroids whose distances to it differ by more than the
