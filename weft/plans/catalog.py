@@ -380,7 +380,7 @@ def score_histogram(spark, sf_dir):
 
 
 @query(sql_of(10, SCORED, """gr AS (SELECT gold, round(score, 3) AS s, count(*) AS n FROM ju GROUP BY ALL), sp AS (SELECT i / 49.0::DOUBLE AS x FROM range(50) r(i))""",
-    then="SELECT gold, round(x, 6) AS x, round(sum(exp(-((x - s) / 0.05::DOUBLE) ** 2 / 2) / (0.05::DOUBLE * 2.5066282746310002::DOUBLE) * n) / sum(n), 6) AS density FROM gr, sp GROUP BY gold, x"))
+    then="SELECT gold, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * pow((x - s) / 0.05::DOUBLE, 2)) / (0.05::DOUBLE * 2.5066282746310002::DOUBLE) * n) / sum(n), 6) AS density FROM gr, sp GROUP BY gold, x"))
 def score_density(spark, sf_dir):
     return rounded(analysis.density(judged(spark, sf_dir), "gold"), "x", "density")
 
