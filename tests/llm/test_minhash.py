@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from weft.llm.minhash import HASHES, band_keys, minima, near_duplicates, packed, shingle_set
+from weft.llm.minhash import HASHES, WIDE, band_keys, band_rows, least_estimate, minima, near_duplicates, packed, shingle_set
 
 
 def shingles(text):
@@ -79,3 +79,36 @@ def test_sketches_agree_as_often_as_sets():
     differ = int(np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum())
     assert abs(((1 - differ / HASHES) - 0.25) / 0.75 - j) < 0.16
     assert len(band_keys(ma)) == 25 and len(shingle_set("a b c d e a b c d e")) == 5
+
+
+def between(n=40, seed=3):
+    """Pairs of texts at similarities from 0.74 to 0.88, and groups whose members are that near their first only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(n):
+        base = [word() for _ in range(400)]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 4):
+            w = list(base)
+            at = r.sample(range(4, 396, 5), 6 + r.randrange(7))
+            for j in at:
+                w[j] = word()
+            rows.append((10 * i + k, " ".join(w)))
+    return rows
+
+
+def test_eighty_percent_same_as_all_pairs(spark):
+    rows = [(5000 + i, t) for i, t in between()] + corpus(90, 5)[:-7]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute(rows, 80)
+    assert want != brute(rows, 85)
+    assert sorted(map(tuple, near_duplicates(df, percent=80).collect())) == want
+
+
+def test_bounds_follow_the_percentage():
+    for percent in (70, 80, 85, 90):
+        rows = band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (HASHES // rows) <= 1e-6
+        assert least_estimate(percent, HASHES) < least_estimate(percent, WIDE) < percent / 100 - 0.04
+    assert (band_rows(85), band_rows(80)) == (5, 4)

@@ -26,3 +26,17 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
             assert out.count() >= 0
             if name != "bpe":
                 assert out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_near_copies_from_eighty_percent_go(spark):
+    words = [f"w{i}" for i in range(304)]
+    near = list(words)
+    for i in range(10, 70, 10):
+        near[i] = "other"
+    far = list(words)
+    for i in range(10, 190, 10):
+        far[i] = "other"
+    # 30 of 300 shingles differ: 270 / 330 = 0.82; 90 of them: 210 / 390
+    rows = [(i, " ".join(t), "en", "web", 1) for i, t in enumerate([words, near, far])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]

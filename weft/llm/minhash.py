@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +19,16 @@ from weft.session import bounded_batches, broadcast_if_few, durable
 WIDTH = 5
 #: Minima of a signature; two low bits of each are kept, 32 minima to a long.
 HASHES, BITS = 128, 2
-#: Bands of ROWS minima.  A pair at similarity 0.85 shares no band once in 2 million times.
-ROWS = 5
-BANDS = HASHES // ROWS
+#: Minima of a band, at most, and the share of pairs at the least similarity of a link that may have no band in
+#: common: at 0.85, 25 bands of 5 miss one in 2 million; at 0.80, 32 bands of 4 miss one in 20 million.
+ROWS, MISSED = 5, 1e-6
 LONGS = HASHES * BITS // 64
-#: Pairs with a lower estimate are not confirmed: more than six standard errors under 0.85.
-LEAST_ESTIMATE = 0.6
+#: Pairs whose estimate is this many standard errors under the least similarity of a link are not confirmed.
+ERRORS = 6.5
 #: Ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: The wide signature of documents in buckets of several components: minima, and the least estimate, again
-#: six standard errors under 0.85.
-WIDE, LEAST_WIDE = 2048, 0.79
+#: Minima of the wide signature of documents in buckets of several components.
+WIDE = 2048
 #: Word hashes that a worker keeps.
 KEEP_WORDS = 500_000
 
@@ -38,7 +38,7 @@ _A = _rng.integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np
 _B = _rng.integers(0, 1 << 63, size=HASHES, dtype=np.uint64)
 _WA = _rng.integers(1, 1 << 63, size=WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WB = _rng.integers(0, 1 << 63, size=WIDE, dtype=np.uint64)
-_BAND = _rng.integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(1, 1 << 63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, :]
 
 
@@ -96,11 +96,26 @@ def packed(least: np.ndarray) -> np.ndarray:
     return (low << _SHIFT).sum(axis=1, dtype=np.uint64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    return _mixed((least[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64))
+def band_rows(percent: int) -> int:
+    """The most minima a band may have, up to ROWS, for a pair at ``percent`` to have no band in common at most
+    MISSED times; one where even that is more."""
+    fits = (r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (HASHES // r) <= MISSED)
+    return next(fits, 1)
 
 
-def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def least_estimate(percent: int, hashes: int) -> float:
+    """The estimate from ``hashes`` minima that is ERRORS standard errors under ``percent``."""
+    chance = 1 / 2**BITS
+    agree = chance + (1 - chance) * percent / 100
+    return percent / 100 - ERRORS * math.sqrt(agree * (1 - agree) / hashes) / (1 - chance)
+
+
+def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    n = len(least) // rows
+    return _mixed((least[: n * rows] * _BAND[: n * rows]).reshape(n, rows).sum(axis=1, dtype=np.uint64))
+
+
+def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_key, s0.., bands) per row; set_key is a 128-bit digest of the set, null with
     the bands where it is empty."""
     bounded_batches(docs.sparkSession)
@@ -115,7 +130,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     least = minima(s)
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sig.append(packed(least))
-                    bands.append(band_keys(least).view(np.int64))
+                    bands.append(band_keys(least, rows).view(np.int64))
                 else:
                     key.append(None)
                     sig.append(np.zeros(LONGS, np.uint64))
@@ -156,7 +171,7 @@ def estimate(a: str, b: str, letter: str = "s", hashes: int = HASHES) -> Column:
 def possible(a: str, b: str, percent: int) -> Column:
     """Whether sizes and estimate leave a link open."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(a, b) >= LEAST_ESTIMATE)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(a, b) >= least_estimate(percent, HASHES))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,7 +220,7 @@ def meetings(rows: DataFrame, meta, docs: DataFrame, percent: int, id_col: str,
     side = lambda df, p, key, comp: df.join(meta(p, "rep", "bands"), "rep").join(wide.toDF("rep", *[p + w for w in ws]), "rep").withColumnsRenamed({"rep": key, "comp": comp})
     left = side(some.where("comp <> major").drop("major"), "x", "a", "ca")
     right = side(some.withColumn("is_major", F.col("comp") == F.col("major")).drop("major"), "y", "b", "cb")
-    wanted = (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent) & (estimate("x", "y", "w", WIDE) >= LEAST_WIDE)
+    wanted = (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent) & (estimate("x", "y", "w", WIDE) >= least_estimate(percent, WIDE))
     once = F.array_min(F.array_intersect("xbands", "ybands")) == left["key"]
     met = left.join(right, (left["key"] == right["key"]) & wanted & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -231,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     same document.  A null doc_id is never a component's id unless its class has no other; it is kept then.
     Empty input: empty output.  Other columns are ignored.
     """
-    sketches = durable(sketch_documents(docs, id_col, text_col))
+    sketches = durable(sketch_documents(docs, id_col, text_col, band_rows(percent)))
     classes = durable(sketches.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     sigs = [f"s{i}" for i in range(LONGS)]
     one = sketches.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"])
