@@ -12,7 +12,7 @@ from weft.llm.minhash import near_duplicates
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import keep_good, train_line_crf
 from weft.llm.secrets import redact_documents
-from weft.session import LOCAL_CHECKPOINTS, broadcast_if_few, table
+from weft.session import LOCAL_CHECKPOINTS, broadcast_if_few, durable, table
 
 #: Least similarity, in percent, of near-duplicates; only op10_neardup's contract asks for 85.
 NEAR = 80
@@ -27,12 +27,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, train_line_crf(docs, table(spark, sf_dir, "labels")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, a hash of the whole row: only equal rows share one, whatever their doc_id."""
+    columns = [F.col(c) for c in COLUMNS]
+    return docs.select(*columns, F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("_key"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id.  Rows without a doc_id
-    can't be told from each other by it and stay."""
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs.where("doc_id is not null"), NEAR).where("not kept").select("doc_id").distinct()
-    return docs.join(broadcast_if_few(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate group, that of the smallest doc_id, null being the largest; of equal
+    doc_ids, that of the smallest hash of the row.  Rows without words are in no group and stay."""
+    docs = keyed(docs)
+    found = near_duplicates(docs, NEAR, id_col="_key").where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id")
+    found = durable(found)
+    large = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    rows = found.join(large, "component_id").groupBy("_key", "component_id").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = broadcast_if_few(rows)
+    ids = docs.select("_key", "doc_id").join(rows, "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key")))["_key"].alias("_first")
+    marks = rows.join(ids.groupBy("component_id").agg(first), "component_id").select("_key", "_rows", (F.col("_key") == F.col("_first")).alias("_stays"))
+    marked = docs.join(broadcast_if_few(marks), "_key", "left").where("_stays is null or _stays")
+    equal = marked.where("_rows > 1").dropDuplicates(["_key"])
+    return marked.where("_rows is null or _rows = 1").unionByName(equal).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +56,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    docs = docs.select(*COLUMNS)
-    copies = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = broadcast_if_few(copies)
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Rows as often as the mix takes them: not at all, once or twice.  Equal rows, which can't be told from
+    each other, come as often as the mix takes all of them together."""
+    docs = keyed(docs)
+    copies = mix_sources(docs, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = docs.join(broadcast_if_few(copies.where("_copies > 0")), "_key")
+    taken = taken.where("_rows = 1").unionByName(taken.where("_rows > 1").dropDuplicates(["_key"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,30 @@ def test_near_copies_from_eighty_percent_go(spark):
     rows = [(i, " ".join(t), "en", "web", 1) for i, t in enumerate([words, near, far])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+
+
+def words(seed, n=60):
+    return " ".join(f"w{seed}x{i}" for i in range(n))
+
+
+def test_rows_not_ids_are_deduplicated(spark):
+    one, two, three, four = (words(k) for k in range(4))
+    rows = [
+        (1, one, "en", "web", 1), (1, one, "en", "web", 1), (1, one, "en", None, 1), (1, one, None, "en", 1),  # copies under one id
+        (2, two, "en", "web", 1), (3, two + " end", "en", "web", 1), (3, three, "en", "web", 1),  # an id on two texts
+        (None, four, "en", "web", 1), (None, four, "en", "web", 1), (None, four + " end", "en", "web", 1), (None, two, "en", "web", 1), (None, words(9), "en", "web", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    texts = [t.removesuffix(" end") for _, t in got]
+    assert sorted(texts) == sorted([one, two, three, four, words(9)])
+    assert {t: i for i, t in got if i is not None} == {one: 1, two: 2, three: 3}
+
+
+def test_mix_counts_rows(spark):
+    rows = [(7, words(0), "en", "web", 1)] * 3 + [(None, words(k), "en", "web", 1) for k in range(1, 6)] + [(7, words(6), "en", "web", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = [r["text"] for r in corpus_pipeline.mixing(spark, docs, SF).collect()]
+    # nine rows of 60 words, a budget of 1.5 times that: 13 whole rows, each at most twice
+    assert len(got) == 13
+    assert all(got.count(t) <= (6 if t == words(0) else 2) for t in got)
