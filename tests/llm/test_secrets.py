@@ -52,3 +52,10 @@ def test_redact():
     assert redact(t, scan(t)) == "a [assign] b [access]"
     t = "secret=deadbeefdeadbeefdeadbeef!"
     assert redact(t, scan(t)) == "[assign]!"
+
+
+def test_names_with_prefixes():
+    t = "DB_HOST=db.internal\nDB_USER=app\nDB_PASS=hunter22"
+    assert [KINDS[k] for _, k, _ in scan(t)] == ["endpoint", "identifier", "weak"]
+    assert redact(t, scan(t)) == "DB_[endpoint]\nDB_[identifier]\nDB_[weak]"
+    assert scan("compass=northwest superuser=bob") == []

@@ -22,10 +22,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 
-WEAK = re.compile(r"""\b(?:pwd|pass|passphrase|passcode|auth|credentials?|private_?key|signature)["']?\x20*[:=]\x20*["']?([^\s"',;]{4,})""", re.IGNORECASE | re.ASCII)
+#: Where a key's name begins: names may have prefixes, as in DB_PASS.
+BEGINS = r"(?<![A-Za-z0-9])"
+WEAK = re.compile(BEGINS + r"""(?:pwd|pass|passphrase|passcode|auth|credentials?|private_?key|signature)["']?\x20*[:=]\x20*["']?([^\s"',;]{4,})""", re.IGNORECASE | re.ASCII)
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-IDENTIFIER = re.compile(r"""\b(?:user|user_?name|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([^\s"',;]{2,})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b""", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(BEGINS + r"""(?:user|user_?name|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([^\s"',;]{2,})""", re.IGNORECASE | re.ASCII)
+ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b""", re.IGNORECASE | re.ASCII)
 BREAK = re.compile(r"\n[ \t\r]*\n")
 
 #: Code points between the ends of two parts that can belong together.
