@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -225,3 +226,16 @@ def test_embedding_batches_that_fail(spark):
 
     assert sorted(r["id"] for r in ml.embed(t, client, batch=1).collect()) == [0, 1, 2, 4, 6, 7]
     assert ml.embed(t).count() == 7
+
+
+def test_negatives_have_one_order_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "ENUMERATE", 10, raising=False)
+    cluster = {i: 0 if i < 180 else i for i in range(200)}
+    rec = spark.createDataFrame(list(cluster.items()), "id bigint, cluster bigint")
+    cross = [(a, b) for a in cluster for b in cluster if a < b and cluster[a] != cluster[b]]
+    by = lambda seed: sorted(cross, key=lambda p: hashlib.md5(f"{seed}:{p[0]}:{p[1]}".encode()).hexdigest())
+    got = {(r["a"], r["b"]) for r in pairs.negative_sample(rec, 600).collect()}
+    assert got == set(by("neg")[:600])
+    known = spark.createDataFrame(by("non")[:3000], "a bigint, b bigint")
+    got = {(r["a"], r["b"]) for r in pairs.nonmatch_sample(rec, known, 20).collect()}
+    assert got == set(by("non")[3000:3020])

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from weft.functions.scalars import ORPHAN, hash_order
 
-#: Up to this many cross-cluster pairs are enumerated for an exact sample; beyond, pairs are drawn.
-ENUMERATE = 50_000_000
-
 
 def canonical_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct unordered pairs (a, b), a < b."""
@@ -61,14 +58,9 @@ def drawn_pairs(records: DataFrame, tries: int, seed: str, id_col: str = "id", c
 
 def negative_sample(records: DataFrame, size: int, seed: str = "neg", id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
     """``size`` cross-cluster pairs, uniform without replacement, the same in every run, with label 0; all
-    of them if there are fewer."""
-    c = records.where(F.col(cluster_col).isNotNull()).groupBy(cluster_col).count()
-    t = c.agg(F.sum("count").cast("double").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("s")).first()
-    total = ((t["n"] or 0.0) ** 2 - (t["s"] or 0.0)) / 2
-    if total <= max(ENUMERATE, 4 * size):
-        rows = cross_pairs(records, id_col, cluster_col).orderBy(hash_order(seed, F.col("a"), F.col("b")), "a", "b").limit(size)
-    else:
-        rows = drawn_pairs(records, 4 * size + 64, seed, id_col, cluster_col).orderBy("draw").limit(size)
+    of them if there are fewer.  They are those of least hash at every size of ``records``: every cross pair is
+    hashed, in time quadratic in the records, but no task keeps more than ``size`` of them."""
+    rows = cross_pairs(records, id_col, cluster_col).orderBy(hash_order(seed, F.col("a"), F.col("b")), "a", "b").limit(size)
     return rows.select("a", "b", F.lit(0).alias("label"))
 
 
@@ -79,8 +71,9 @@ def record_sample(records: DataFrame, size: int = 2000, seed: str = "rec", id_co
 
 def nonmatch_sample(records: DataFrame, known: DataFrame, size: int, seed: str = "non", id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
     """``size`` random pairs of different clusters that aren't among ``known`` (a, b)."""
-    pool = negative_sample(records, 20 * max(size, 1), seed, id_col, cluster_col).select("a", "b")
-    fresh = pool.join(canonical_pairs(known), ["a", "b"], "left_anti")
+    known = canonical_pairs(known)
+    pool = negative_sample(records, size + known.count(), seed, id_col, cluster_col).select("a", "b")
+    fresh = pool.join(known, ["a", "b"], "left_anti")
     return fresh.orderBy(hash_order(seed, F.col("a"), F.col("b")), "a", "b").limit(size)
 
 
