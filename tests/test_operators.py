@@ -175,8 +175,8 @@ def test_sampling(spark):
     rec = spark.createDataFrame([(i, i % 4) for i in range(40)], "id bigint, cluster int")
     assert pairs.negative_sample(rec, 10**6).count() == 600
     assert pairs.negative_sample(rec, 0).count() == 0
-    drawn = pairs.drawn_pairs(rec, 500, "s").collect()
-    assert len({(r["a"], r["b"]) for r in drawn}) == len(drawn) > 100 and all(r["a"] < r["b"] and (r["a"] - r["b"]) % 4 for r in drawn)
+    drawn = pairs.negative_sample(rec, 500, "s").collect()
+    assert len({(r["a"], r["b"]) for r in drawn}) == len(drawn) == 500 and all(r["a"] < r["b"] and (r["a"] - r["b"]) % 4 for r in drawn)
     known = pairs.negative_sample(rec, 300)
     other = pairs.nonmatch_sample(rec, known, 50)
     assert other.count() == 50 and other.join(known, ["a", "b"]).count() == 0
@@ -228,14 +228,41 @@ def test_embedding_batches_that_fail(spark):
     assert ml.embed(t).count() == 7
 
 
-def test_negatives_have_one_order_at_every_size(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "ENUMERATE", 10, raising=False)
+def brute_order(cluster, seed):
+    """All cross pairs in the sample's order, by the rule as stated, one number at a time."""
+    digest = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    at = sorted(cluster, key=lambda i: (digest(cluster[i])[:3], cluster[i], digest(i)[:3], i))
+    numbers, s = [], 0
+    while s < len(at):
+        n = sum(cluster[i] == cluster[at[s]] for i in at)
+        numbers += [(at[s + k // s], at[k % s]) for k in range(n * s)]
+        s += n
+    half = max(1, ((len(numbers) - 1).bit_length() + 1) // 2)
+    out = []
+    for t in range(4**half):
+        left, right = t >> half, t & (2**half - 1)
+        for i in range(1, pairs.ROUNDS + 1):
+            left, right = right, left ^ (int(digest(f"{seed}:{i}:{right}")[:8], 16) & (2**half - 1))
+        if (i := left << half | right) < len(numbers):
+            out.append((min(numbers[i]), max(numbers[i])))
+    return out
+
+
+def test_negatives_have_one_order_at_every_size(spark):
     cluster = {i: 0 if i < 180 else i for i in range(200)}
     rec = spark.createDataFrame(list(cluster.items()), "id bigint, cluster bigint")
-    cross = [(a, b) for a in cluster for b in cluster if a < b and cluster[a] != cluster[b]]
-    by = lambda seed: sorted(cross, key=lambda p: hashlib.md5(f"{seed}:{p[0]}:{p[1]}".encode()).hexdigest())
-    got = {(r["a"], r["b"]) for r in pairs.negative_sample(rec, 600).collect()}
-    assert got == set(by("neg")[:600])
-    known = spark.createDataFrame(by("non")[:3000], "a bigint, b bigint")
+    order = brute_order(cluster, "neg")
+    assert len(set(order)) == len(order) == 200 * 199 // 2 - 180 * 179 // 2
+    for size in (1, 600, len(order) - 1, len(order) + 5):
+        got = [(r["a"], r["b"]) for r in pairs.cross_sample(rec, size, "neg").orderBy("t").collect()]
+        assert got == order[:size]
+    order = brute_order(cluster, "non")
+    known = spark.createDataFrame(order[:3000], "a bigint, b bigint")
     got = {(r["a"], r["b"]) for r in pairs.nonmatch_sample(rec, known, 20).collect()}
-    assert got == set(by("non")[3000:3020])
+    assert got == set(order[3000:3020])
+
+
+def test_negatives_beside_one_dominant_cluster(spark):
+    rec = spark.range(1_000_000).select("id", F.when(F.col("id") < 60, 1).otherwise(0).alias("cluster"))
+    rows = pairs.negative_sample(rec, 5000).collect()
+    assert len({(r["a"], r["b"]) for r in rows}) == 5000 and all(r["a"] < 60 <= r["b"] for r in rows)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import ORPHAN, hash_order
+from weft.session import durable
 
 
 def canonical_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,39 +30,100 @@ def positive_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "c
     return gold_pairs(records, id_col, cluster_col).select("a", "b", F.lit(1).alias("label"))
 
 
-def cross_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
-    """Every pair of records of different clusters: for bounded tables only."""
-    r = records.where(F.col(cluster_col).isNotNull())
-    x = r.select(F.col(cluster_col).alias("ca"), F.col(id_col).alias("a"))
-    y = r.select(F.col(cluster_col).alias("cb"), F.col(id_col).alias("b"))
-    return x.join(y, F.col("a") < F.col("b")).where("ca <> cb").select("a", "b")
+#: Pieces into which rows are cut by hash for running sums, and ranges into which index spaces are cut.
+PIECES = 4096
+#: Rounds of the index permutation.
+ROUNDS = 4
 
 
-def drawn_pairs(records: DataFrame, tries: int, seed: str, id_col: str = "id", cluster_col: str = "cluster", buckets: int = 4096) -> DataFrame:
-    """Distinct cross-cluster pairs among ``tries`` uniform draws, with their first draw (a, b, draw).
+def _piece(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 3), 16, 10).cast("int")
 
-    Records get dense numbers without a global sort (bucket counts, then numbers inside buckets); each draw
-    is two numbers from a hash, resolved by two equi-joins.
-    """
-    from pyspark.sql import Window
 
+def cross_index(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> tuple[DataFrame, DataFrame, int]:
+    """(rows (id, pos), clusters (c, s, n, lo), m): an index of all ``m`` unordered pairs of records of
+    different clusters, without making one.
+
+    Records stand in the order (piece of cluster, cluster, piece of id, id); cluster c has the ``n`` places
+    from ``s``.  Its pairs with records before it have the ``n * s`` numbers from ``lo``: number lo + i is the
+    pair of places s + i // s and i % s.  Places come from counts of pieces, so no task sorts more than one
+    piece of one cluster, and no window without a partition holds more than PIECES rows.  Ids are unique;
+    records without a cluster take no part.
+    """
     r = records.where(F.col(cluster_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(cluster_col).alias("c"))
-    r = r.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    starts = r.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    numbered = r.join(starts, "bucket").select("id", "c", (F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1).alias("i"))
-    n = r.count()
-    draws = records.sparkSession.range(tries).select(F.col("id").alias("draw"), *[F.pmod(F.xxhash64(F.lit(f"{seed}:{k}"), "id"), F.lit(max(n, 1))).alias(k) for k in ("i", "j")])
-    found = draws.join(numbered.toDF("x", "cx", "i"), "i").join(numbered.toDF("y", "cy", "j"), "j").where("cx <> cy and x <> y")
-    return found.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("draw").alias("draw"))
+    r = durable(r.select("id", "c", _piece(F.col("c")).alias("cp"), _piece(F.col("id")).alias("ip")))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = r.groupBy("cp", "c", "ip").agg(F.count(F.lit(1)).alias("n"))
+    clusters = pieces.groupBy("cp", "c").agg(F.sum("n").alias("n"))
+    blocks = clusters.groupBy("cp").agg(F.sum("n").alias("n")).select("cp", before("n", Window.orderBy("cp")).alias("s0"))
+    clusters = clusters.withColumn("s1", before("n", Window.partitionBy("cp").orderBy("c"))).join(F.broadcast(blocks), "cp")
+    clusters = durable(clusters.select("cp", "c", "n", (F.col("s0") + F.col("s1")).alias("s")))
+    starts = pieces.withColumn("s2", before("n", Window.partitionBy("c").orderBy("ip"))).join(clusters.select("c", "s"), "c")
+    inside = F.row_number().over(Window.partitionBy("c", "ip").orderBy("id")) - 1
+    rows = r.join(starts.select("c", "ip", (F.col("s") + F.col("s2")).alias("first")), ["c", "ip"]).select("id", (F.col("first") + inside).alias("pos"))
+    weight = F.col("n") * F.col("s")
+    blocks = clusters.groupBy("cp").agg(F.sum(weight).alias("w")).select("cp", before("w", Window.orderBy("cp")).alias("lo0"))
+    spans = clusters.join(F.broadcast(blocks), "cp").withColumn("lo", F.col("lo0") + before(weight, Window.partitionBy("cp").orderBy("c")))
+    m = clusters.agg(F.sum(weight).alias("m")).first()["m"] or 0
+    return durable(rows), durable(spans.where(weight > 0).select("c", "s", "n", "lo")), m
+
+
+def shuffled(t: Column, half: int, seed: str) -> Column:
+    """The place of number ``t`` in a fixed random order of 0 .. 4 ** half - 1: a Feistel network whose round
+    function is the first eight hex digits of md5(seed:round:right half)."""
+    mask = (1 << half) - 1
+    left, right = F.shiftright(t, half), t.bitwiseAND(F.lit(mask))
+    for i in range(1, ROUNDS + 1):
+        f = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{i}:"), right.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(f.bitwiseAND(F.lit(mask)))
+    return F.shiftleft(left, half).bitwiseOR(right)
+
+
+def drawn(spark: SparkSession, m: int, size: int, seed: str) -> DataFrame:
+    """(t, i): the first min(size, m) numbers i below ``m`` in a fixed random order, t being the place.  Places
+    are tried in ascending order, about size * 4 at most; the cut is found from counts of ranges of places, of
+    which only the one with the cut is sorted."""
+    size = min(size, m)
+    if size <= 0:
+        return spark.createDataFrame([], "t bigint, i bigint")
+    half = max(1, ((m - 1).bit_length() + 1) // 2)
+    tries = min(1 << 2 * half, int(size * (1 << 2 * half) / m * 1.05) + 256)
+    while True:
+        found = spark.range(tries).select(F.col("id").alias("t"), shuffled(F.col("id"), half, seed).alias("i"))
+        found = durable(found.where(F.col("i") < m))
+        part = F.floor(F.col("t") * PIECES / tries).cast("int")
+        counts = sorted((r["r"], r["n"]) for r in found.groupBy(part.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect())
+        total = 0
+        for r, n in counts:
+            if total + n >= size:
+                last = found.where(part == r).orderBy("t").limit(size - total)
+                return found.where(part < r).unionByName(last)
+            total += n
+        tries = min(1 << 2 * half, tries * 2)
+
+
+def cross_sample(records: DataFrame, size: int, seed: str, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
+    """(a, b, t): ``size`` pairs of records of different clusters, a < b, uniform without replacement, the same
+    in every run; all of them if there are fewer.  ``t`` is the place in the random order.
+
+    One rule at every size: numbers of pairs are drawn and turned into pairs, so the work is in proportion to
+    the records and ``size``, not to the pairs there are.  Intervals of clusters meet numbers by an equi-join on
+    ranges of numbers."""
+    rows, spans, m = cross_index(records, id_col, cluster_col)
+    numbers = drawn(records.sparkSession, m, size, seed)
+    ranges = lambda i: F.floor(i.cast("double") * (PIECES / max(m, 1)))
+    last = F.col("lo") + F.col("n") * F.col("s") - 1
+    # A range more on both sides, for what rounding moves over an edge.
+    spread = spans.select("s", "lo", last.alias("hi"), F.explode(F.sequence(ranges(F.col("lo")) - 1, ranges(last) + 1)).alias("r"))
+    met = numbers.withColumn("r", ranges(F.col("i"))).join(spread, "r").where("i >= lo and i <= hi").withColumn("i", F.col("i") - F.col("lo"))
+    places = met.select("t", (F.col("s") + F.expr("i div s")).alias("px"), (F.col("i") % F.col("s")).alias("py"))
+    both = places.join(rows.toDF("x", "px"), "px").join(rows.toDF("y", "py"), "py")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "t")
 
 
 def negative_sample(records: DataFrame, size: int, seed: str = "neg", id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
-    """``size`` cross-cluster pairs, uniform without replacement, the same in every run, with label 0; all
-    of them if there are fewer.  They are those of least hash at every size of ``records``: every cross pair is
-    hashed, in time quadratic in the records, but no task keeps more than ``size`` of them."""
-    rows = cross_pairs(records, id_col, cluster_col).orderBy(hash_order(seed, F.col("a"), F.col("b")), "a", "b").limit(size)
-    return rows.select("a", "b", F.lit(0).alias("label"))
+    """cross_sample with label 0, for training."""
+    return cross_sample(records, size, seed, id_col, cluster_col).select("a", "b", F.lit(0).alias("label"))
 
 
 def record_sample(records: DataFrame, size: int = 2000, seed: str = "rec", id_col: str = "id") -> DataFrame:
@@ -70,11 +132,11 @@ def record_sample(records: DataFrame, size: int = 2000, seed: str = "rec", id_co
 
 
 def nonmatch_sample(records: DataFrame, known: DataFrame, size: int, seed: str = "non", id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
-    """``size`` random pairs of different clusters that aren't among ``known`` (a, b)."""
-    known = canonical_pairs(known)
-    pool = negative_sample(records, size + known.count(), seed, id_col, cluster_col).select("a", "b")
-    fresh = pool.join(known, ["a", "b"], "left_anti")
-    return fresh.orderBy(hash_order(seed, F.col("a"), F.col("b")), "a", "b").limit(size)
+    """``size`` random pairs of different clusters that aren't among ``known`` (a, b): the first of a random
+    order that is long enough to lose all known ones."""
+    known = durable(canonical_pairs(known))
+    pool = cross_sample(records, size + known.count(), seed, id_col, cluster_col)
+    return pool.join(known, ["a", "b"], "left_anti").orderBy("t").limit(size).select("a", "b")
 
 
 def trainable(pairs: DataFrame, vectors: DataFrame, id_col: str = "id") -> DataFrame:

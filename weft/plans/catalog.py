@@ -129,10 +129,36 @@ def training_pos_pairs(spark, sf_dir):
     return pairs.positive_pairs(clusters(spark, sf_dir))
 
 
-@query("""SELECT x.vec_id AS a, y.vec_id AS b, 0 AS label FROM embeddings x JOIN embeddings y ON x.label <> y.label AND x.vec_id < y.vec_id
-ORDER BY md5('neg:' || x.vec_id || ':' || y.vec_id), 1, 2 LIMIT 1000""")
+def _sample_sql(seed: str, size: str, p: str) -> str:
+    """CTEs that end in ``{p}`` (a, b, t): the sample of cross pairs in its random order; needs q (id, c)."""
+    turn = "\n".join(
+        f"{p}{i} AS (SELECT t, m, k, r AS l, xor(l, ('0x' || substr(md5('{seed}:{i}:' || r), 1, 8))::BIGINT & ((1::BIGINT << k) - 1)) AS r FROM {p}{i - 1})," for i in range(1, pairs.ROUNDS + 1)
+    )
+    return f"""{p}po AS (SELECT id, c, row_number() OVER (ORDER BY substr(md5(c::VARCHAR), 1, 3), c, substr(md5(id::VARCHAR), 1, 3), id) - 1 AS pos FROM q),
+{p}cl AS (SELECT c, min(pos) AS s, count(*) AS n FROM {p}po GROUP BY c),
+{p}cu AS (SELECT s, n * s AS w, (sum(n * s) OVER (ORDER BY s) - n * s)::BIGINT AS lo FROM {p}cl),
+{p}mm AS (SELECT sum(w)::BIGINT AS m, greatest(1, ceil(log2(sum(w)) / 2))::INTEGER AS k FROM {p}cu),
+{p}tt AS (SELECT unnest(range(1::BIGINT << (2 * k))) AS t, m, k FROM {p}mm),
+{p}0 AS (SELECT t, m, k, t >> k AS l, t & ((1::BIGINT << k) - 1) AS r FROM {p}tt),
+{turn}
+{p}ix AS (SELECT t, (l << k) | r AS i FROM {p}{pairs.ROUNDS} WHERE ((l << k) | r) < m ORDER BY t LIMIT {size}),
+{p}at AS (SELECT t, s + (i - lo) // s AS px, (i - lo) % s AS py FROM {p}ix JOIN {p}cu ON i >= lo AND i < lo + w),
+{p} AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, t FROM {p}at JOIN {p}po x ON px = x.pos JOIN {p}po y ON py = y.pos)"""
+
+
+CROSS = "q AS (SELECT vec_id AS id, label AS c FROM embeddings WHERE label IS NOT NULL)"
+POSITIVES = "(SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT count(*) AS n FROM q GROUP BY c))"
+
+
+def _positives(c: DataFrame) -> int:
+    return metrics.pair_counts(c).first()["gold_total"]
+
+
+@query(f"WITH {CROSS}, {_sample_sql('neg', POSITIVES, 'ne')} SELECT a, b, 0 AS label FROM ne")
 def training_neg_sample(spark, sf_dir):
-    return pairs.negative_sample(clusters(spark, sf_dir), 1000)
+    """As many negatives as there are positives."""
+    c = clusters(spark, sf_dir)
+    return pairs.negative_sample(c, _positives(c))
 
 
 @query("SELECT vec_id AS id, label AS cluster FROM embeddings ORDER BY md5('rec:' || vec_id), vec_id LIMIT 200")
@@ -140,14 +166,12 @@ def record_sample(spark, sf_dir):
     return pairs.record_sample(clusters(spark, sf_dir), 200)
 
 
-@query("""WITH n AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label <> y.label AND x.vec_id < y.vec_id
-ORDER BY md5('neg:' || x.vec_id || ':' || y.vec_id), 1, 2 LIMIT 1000),
-p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label <> y.label AND x.vec_id < y.vec_id
-ORDER BY md5('non:' || x.vec_id || ':' || y.vec_id), 1, 2 LIMIT 6000)
-SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.a = p.a AND n.b = p.b) ORDER BY md5('non:' || a || ':' || b), 1, 2 LIMIT 300""")
+@query(f"""WITH {CROSS}, {_sample_sql('neg', '1000', 'ne')}, {_sample_sql('non', '(SELECT 1000 + count(*) FROM ne)', 'no')}
+SELECT a, b FROM no WHERE NOT EXISTS (SELECT 1 FROM ne WHERE ne.a = no.a AND ne.b = no.b) ORDER BY t LIMIT 1000""")
 def random_nonmatch(spark, sf_dir):
+    """As many random non-matches as there are samples already."""
     c = clusters(spark, sf_dir)
-    return pairs.nonmatch_sample(c, pairs.negative_sample(c, 1000), 300)
+    return pairs.nonmatch_sample(c, pairs.negative_sample(c, 1000), 1000)
 
 
 @query(sql_of(1, COMP, then="SELECT id, component FROM co"))
@@ -343,15 +367,16 @@ def pair_confusion(spark, sf_dir):
     return rounded(metrics.label_confusion(rows, F.col("quality") == 1, F.col("toxic") == 1), "precision", "recall", "f1")
 
 
-@query(sql_of(10, SCORED, then="""SELECT gold, count(*) AS count, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min, round(quantile_cont(score, 0.25), 6) AS p25,
-round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75, max(score) AS max FROM ju GROUP BY gold"""))
+@query(sql_of(10, SCORED, then="""SELECT gold, count(*) AS count, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min, round(quantile_cont(score, 0.25), 9) AS p25,
+round(quantile_cont(score, 0.5), 9) AS p50, round(quantile_cont(score, 0.75), 9) AS p75, max(score) AS max FROM ju GROUP BY gold"""))
 def score_describe(spark, sf_dir):
-    return rounded(analysis.describe(judged(spark, sf_dir), "gold"), "mean", "std", "p25", "p50", "p75")
+    # Quartiles of six-digit scores have eight digits at most: nine never meet a tie.
+    return rounded(rounded(analysis.describe(judged(spark, sf_dir), "gold"), "mean", "std"), "p25", "p50", "p75", digits=9)
 
 
-@query(sql_of(10, SCORED, then="SELECT round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75 FROM ju"))
+@query(sql_of(10, SCORED, then="SELECT round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 9) AS median, round(stddev_pop(score), 6) AS std, round(quantile_cont(score, 0.25), 9) AS p25, round(quantile_cont(score, 0.75), 9) AS p75 FROM ju"))
 def score_summary(spark, sf_dir):
-    return rounded(analysis.summary(judged(spark, sf_dir)), "mean", "median", "std", "p25", "p75")
+    return rounded(rounded(analysis.summary(judged(spark, sf_dir)), "mean", "std"), "median", "p25", "p75", digits=9)
 
 
 @query(sql_of(10, SCORED, """bi AS (SELECT i, printf('%.1f-%.1f', i / 10.0, (i + 1) / 10.0) AS bin FROM range(10) r(i)),
@@ -508,14 +533,14 @@ def finetune_messages(spark, sf_dir):
     return review.finetune_messages(prompted(spark, sf_dir), F.col("prompt"), F.col("gold"))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
-p AS (SELECT x.id AS a, y.id AS b, 1 AS y FROM v x JOIN v y ON x.label = y.label AND x.id < y.id
-UNION ALL (SELECT x.id, y.id, 0 FROM v x JOIN v y ON x.label <> y.label AND x.id < y.id ORDER BY md5('neg:' || x.id || ':' || y.id), 1, 2 LIMIT 1000)),
+@query(f"""WITH {CROSS}, {_sample_sql('neg', POSITIVES, 'ne')},
+v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings),
+p AS (SELECT x.id AS a, y.id AS b, 1 AS y FROM v x JOIN v y ON x.label = y.label AND x.id < y.id UNION ALL SELECT a, b, 0 FROM ne),
 d AS (SELECT p.y, sqrt(list_sum(list_transform(list_zip(v1.e, v2.e), lambda q: (q[1] - q[2]) * (q[1] - q[2])))) AS d FROM p JOIN v v1 ON p.a = v1.id JOIN v v2 ON p.b = v2.id)
 SELECT count(*) AS pairs, round(avg(y * d * d + (1 - y) * greatest(0, 1 - d) * greatest(0, 1 - d)), 6) AS loss FROM d""")
 def contrastive_loss(spark, sf_dir):
     c = clusters(spark, sf_dir)
-    labelled = pairs.positive_pairs(c).unionByName(pairs.negative_sample(c, 1000))
+    labelled = pairs.positive_pairs(c).unionByName(pairs.negative_sample(c, _positives(c)))
     return rounded(ml.contrastive_loss(labelled, records(spark, sf_dir)), "loss")
 
 
