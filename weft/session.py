@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: Rows of one Arrow batch to a Python worker; texts are long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 512
+#: Bytes of one piece of a batch, about.
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +40,20 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes, a row at least, so that what a
+    worker makes of one piece is bounded too.  Spark itself bounds the batches it sends by bytes; no session
+    setting is touched."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n = -(-n // 2)
+            yield b.slice(at, n)
+            at += n
+
+
 def broadcast_if_few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df``, written out, with a broadcast hint if it has at most ``rows`` rows; beyond, Spark joins by a
     shuffle.  For narrow tables."""
