@@ -58,3 +58,25 @@ def test_rows(spark, odd_docs, no_docs):
     assert sorted((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted(want)
     assert len({(r["media_sha256"], r["feature"]) for r in got}) == len({(t or "") for t in texts})
     assert read_media(store_texts(no_docs)).count() == 0
+
+
+def test_stored_texts_use_every_means(spark):
+    from collections import Counter
+
+    from weft.session import table
+
+    tally = Counter()
+    for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect():
+        payload = to_payload((r["text"] or "").encode())
+        assert load(store(payload), tally).tobytes() == payload
+    for means in ("palette", "predictor", "cross-colour", "subtract green", "back-references", "colour cache", "unequal code lengths"):
+        assert tally[means] >= 20, (means, tally)
+
+
+def test_broken_streams_raise():
+    payload = to_payload(bytes(range(256)) * 40)
+    whole = store(payload)
+    for cut in (30, 60, len(whole) // 2):
+        stream = whole[20:cut]
+        with pytest.raises((EOFError, ValueError)):
+            decode(b"RIFF" + (12 + len(stream)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 
@@ -12,19 +13,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.session import bounded_batches
+from weft.session import slices
 
 # Fixed values of the format.
 SIGNATURE = 0x2F
+EXTRA_BITS = (0,) * 16 + (2, 3, 7)
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, COLOR_INDEXING = range(4)
+TRANSFORMS = ("predictor", "cross-colour", "subtract green", "palette")
 CACHE_FACTOR = 0x1E35A7BD
 OPAQUE_BLACK = 0xFF000000
 MAX_SIDE = 16384
 
-#: Samples in a row of a stored payload.
+#: Bytes in a row of a stored payload, four to a pixel, and rows of one image: longer payloads are several
+#: images, so that memory doesn't grow with the text.
 ROW = 576
-PAYLOAD_ROWS = 16000
+PAYLOAD_ROWS = 1024
+#: What stored images are written with: log2 of a block's side, log2 of the colour cache, longest code.
+BLOCK_BITS, CACHE_BITS, CODE_BITS = 7, 6, 10
 
 
 @cache
@@ -45,6 +51,15 @@ class BitReader:
         at = self.at
         return (int.from_bytes(self.data[at >> 3 : (at >> 3) + 5], "little") >> (at & 7)) & ((1 << n) - 1)
 
+    def ahead(self, n: int) -> tuple[int, int]:
+        """The bits from here on, at most up to ``n`` bytes, and how many they are; they count as read."""
+        first = self.at >> 3
+        part = self.data[first : first + n]
+        have = 8 * len(part) - (self.at & 7)
+        value = int.from_bytes(part, "little") >> (self.at & 7)
+        self.at += have
+        return value, have
+
     def read(self, n: int) -> int:
         value = self.peek(n) if n else 0
         self.at += n
@@ -58,6 +73,15 @@ class BitWriter:
         self.value, self.n = 0, 0
         self.done: list[bytes] = []
 
+    def write_many(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """Each value in its number of bits, in order."""
+        for at in range(0, len(values), 1 << 16):
+            v, w = values[at : at + (1 << 16)], widths[at : at + (1 << 16)]
+            ends = np.cumsum(w)
+            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - w, w)
+            bits = (np.repeat(v, w) >> place & 1).astype(np.uint8)
+            self.write(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
+
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
@@ -75,8 +99,13 @@ class BitWriter:
         return 8 * sum(map(len, self.done)) + self.n
 
 
-def reverse_bits(v: int, n: int) -> int:
-    return int(f"{v:0{n}b}"[::-1], 2) if n else 0
+@cache
+def reversed_bits(n: int) -> np.ndarray:
+    """The numbers of ``n`` bits, each with its bits in reverse."""
+    v, out = np.arange(1 << n, dtype=np.uint32), np.zeros(1 << n, np.uint32)
+    for i in range(n):
+        out |= (v >> np.uint32(i) & np.uint32(1)) << np.uint32(n - 1 - i)
+    return out
 
 
 # Prefix codes
@@ -84,32 +113,26 @@ def reverse_bits(v: int, n: int) -> int:
 
 class PrefixCode:
     """A canonical code from its lengths.  ``flat`` is the length that all symbols share (0 for a single
-    symbol), or None."""
+    symbol), or None.  ``table`` has symbol * 16 + length for every value of the next ``longest`` bits."""
 
     def __init__(self, lengths: Sequence[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        if not used:
-            used = [(0, 0)]
-        self.symbols = [s for _, s in sorted(used)]
-        if len(used) == 1:
-            self.flat, self.longest, self.table = 0, 0, None
+        n = np.array(lengths, np.uint8)
+        used = np.flatnonzero(n)
+        if len(used) < 2:
+            self.symbols = used.tolist() or [0]
+            self.flat, self.longest, self.mask, self.table = 0, 0, 0, [self.symbols[0] << 4]
             return
-        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        order = used[np.argsort(n[used], kind="stable")]
+        n = n[order].astype(np.int64)
+        if (1 << (15 - n)).sum() != 1 << 15:
             raise ValueError("a prefix code isn't complete")
-        self.longest = max(n for n, _ in used)
-        self.flat = self.longest if min(used)[0] == self.longest else None
-        self.table = [0] * (1 << self.longest)
-        code = last = 0
-        for n, s in sorted(used):
-            code <<= n - last
-            last = n
-            for k in range(reverse_bits(code, n), 1 << self.longest, 1 << n):
-                self.table[k] = s << 4 | n
-            code += 1
+        self.symbols = order.tolist()
+        self.longest = int(n[-1])
+        self.mask = (1 << self.longest) - 1
+        self.flat = self.longest if n[0] == n[-1] else None
+        self.table = np.repeat(order << 4 | n, 1 << (self.longest - n))[reversed_bits(self.longest)].tolist()
 
     def read(self, bits: BitReader) -> int:
-        if self.table is None:
-            return self.symbols[0]
         entry = self.table[bits.peek(self.longest)]
         bits.read(entry & 15)
         return entry >> 4
@@ -134,20 +157,32 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
         of_lengths[k] = bits.read(3)
     code = prefix_code(tuple(of_lengths))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    i, previous = 0, 8
+    table, mask = code.table, code.mask
+    i, previous, window, have = 0, 8, 0, 0
     while i < alphabet and left > 0:
         left -= 1
-        s = code.read(bits)
+        if have < 14:
+            bits.at -= have
+            window, have = bits.ahead(64)
+        e = table[window & mask]
+        n, s = e & 15, e >> 4
+        window >>= n
+        have -= n
         if s < 16:
             lengths[i] = s
             i += 1
             previous = s or previous
-        else:
-            n, value = (3 + bits.read(2), previous) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-            if i + n > alphabet:
-                raise ValueError("code lengths run over the alphabet")
-            lengths[i : i + n] = [value] * n
-            i += n
+            continue
+        extra, least, value = ((2, 3, previous), (3, 3, 0), (7, 11, 0))[s - 16]
+        n = least + (window & ((1 << extra) - 1))
+        window >>= extra
+        have -= extra
+        if i + n > alphabet:
+            raise ValueError("code lengths run over the alphabet")
+        lengths[i : i + n] = [value] * n
+        i += n
+    bits.at -= have
+    bits.read(0)
     return prefix_code(tuple(lengths))
 
 
@@ -188,7 +223,7 @@ def flat_pixels(bits: BitReader, codes: list[PrefixCode], n: int) -> np.ndarray
     return out
 
 
-def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
+def read_image(bits: BitReader, width: int, height: int, main: bool, tally: Counter | None = None) -> np.ndarray:
     """An entropy-coded image as ARGB values in scan order; ``main`` may have an image of code groups."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -202,28 +237,58 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     groups = [[read_code(bits, s) for s in sizes] for _ in range(n_groups)]
     total = width * height
+    if tally is not None and main:
+        tally["unequal code lengths"] += any(c.flat is None for g in groups for c in g)
     if n_groups == 1 and not cache_bits and (done := flat_pixels(bits, groups[0], total)) is not None:
         return done
-    out = [0] * total
+    out: list[int] = []
     seen = [0] * (1 << cache_bits) if cache_bits else None
-    drop = 32 - cache_bits
-    near = near_offsets()
-    i = 0
-    green, red, blue, alpha, far = groups[0]
+    drop, near = 32 - cache_bits, near_offsets()
+    window = have = copies = hits = i = 0
     while i < total:
-        if groups_of is not None:
+        if groups_of is None:
+            codes, until = groups[0], total
+        else:
             y, x = divmod(i, width)
-            green, red, blue, alpha, far = groups[groups_of[y >> group_bits][x >> group_bits]]
-        s = green.read(bits)
-        if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            out[i] = p = a << 24 | r << 16 | s << 8 | b
-            if seen is not None:
-                seen[(CACHE_FACTOR * p & 0xFFFFFFFF) >> drop] = p
-            i += 1
-        elif s < 280:
+            codes = groups[groups_of[y >> group_bits][x >> group_bits]]
+            until = min(total, i + min(width - x, (1 << group_bits) - (x & (1 << group_bits) - 1)))
+        (green, gm), (red, rm), (blue, bm), (alpha, am) = ((c.table, c.mask) for c in codes[:4])
+        while i < until:
+            if have < 60:  # the most that a pixel takes
+                bits.at -= have
+                window, have = bits.ahead(64)
+            e = green[window & gm]
+            n = e & 15
+            s = e >> 4
+            window >>= n
+            if s < 256:
+                r = red[window & rm]
+                k = r & 15
+                window >>= k
+                n += k
+                b = blue[window & bm]
+                k = b & 15
+                window >>= k
+                a = alpha[window & am]
+                window >>= a & 15
+                have -= n + k + (a & 15)
+                p = a >> 4 << 24 | r >> 4 << 16 | s << 8 | b >> 4
+                out.append(p)
+                if seen is not None:
+                    seen[(CACHE_FACTOR * p & 0xFFFFFFFF) >> drop] = p
+                i += 1
+                continue
+            have -= n
+            if s >= 280:
+                p = seen[s - 280]
+                out.append(p)
+                hits += 1
+                i += 1
+                continue
+            bits.at -= have
             n = read_extra(bits, s - 256)
-            d = read_extra(bits, far.read(bits))
+            d = read_extra(bits, codes[4].read(bits))
+            window, have = bits.ahead(64)
             if d > 120:
                 d -= 120
             else:
@@ -231,15 +296,18 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
                 d = max(1, dx + dy * width)
             if d > i or i + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(i, i + n):
-                out[k] = p = out[k - d]
-                if seen is not None:
+            copied = out[i - d : i - d + n] if d >= n else (out[i - d :] * -(-n // d))[:n]
+            out += copied
+            if seen is not None:
+                for p in copied:
                     seen[(CACHE_FACTOR * p & 0xFFFFFFFF) >> drop] = p
+            copies += 1
             i += n
-        else:
-            out[i] = p = seen[s - 280]
-            seen[(CACHE_FACTOR * p & 0xFFFFFFFF) >> drop] = p
-            i += 1
+    bits.at -= have
+    bits.read(0)
+    if tally is not None:
+        tally["back-references"] += copies
+        tally["colour cache"] += hits
     return np.array(out, np.uint32)
 
 
@@ -251,7 +319,8 @@ def _argb(c: Sequence[int]) -> int:
     return c[0] << 24 | c[1] << 16 | c[2] << 8 | c[3]
 
 
-def _average(a: int, b: int) -> int:
+def _average(a, b):
+    """Of each channel, rounded down; for numbers and arrays."""
     return (((a ^ b) & 0xFEFEFEFE) >> 1) + (a & b)
 
 
@@ -259,8 +328,8 @@ def _clamp(v: int) -> int:
     return 0 if v < 0 else min(v, 255)
 
 
-def predict(mode: int, left: int, top: int, top_right: int, top_left: int) -> int:
-    """The prediction of one of the 14 modes."""
+def predict(mode: int, left, top, top_right, top_left):
+    """The prediction of one of the 14 modes; of arrays for those that only move or average."""
     if mode == 0 or mode > 13:
         return OPAQUE_BLACK
     if mode < 5:
@@ -283,26 +352,112 @@ def predict(mode: int, left: int, top: int, top_right: int, top_left: int) -> in
     return _argb([_clamp(a + int((a - c) / 2)) for a, c in zip(half, tl, strict=True)])
 
 
+def mode_runs(modes: np.ndarray, width: int, height: int, bits: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, from, to, mode) of stretches of one mode, without the first row and column, which have theirs."""
+    across = -(-width >> bits)
+    grid = (modes >> np.uint32(8) & np.uint32(255)).reshape(-1, across).tolist()
+    for y in range(1, height):
+        row, k = grid[y >> bits], 0
+        while k < across:
+            j = k
+            while j < across and row[j] == row[k]:
+                j += 1
+            yield y, max(1, k << bits), min(width, j << bits), row[k]
+            k = j
+
+
+def _sum_bytes(a: np.ndarray, b) -> np.ndarray:
+    """a + b in every channel."""
+    b = b if isinstance(b, np.ndarray) else np.full(len(a), b, np.uint32)
+    return (a.view(np.uint8) + np.ascontiguousarray(b).view(np.uint8)).view(np.uint32)
+
+
+def _running(first: int, rest: np.ndarray) -> np.ndarray:
+    """``first`` plus the running sums of ``rest``, in every channel."""
+    rows = np.concatenate([np.array([first], np.uint32), rest]).view(np.uint8).reshape(-1, 4)
+    return np.cumsum(rows, axis=0, dtype=np.uint8).view(np.uint32).ravel()[1:]
+
+
 def add_argb(a: int, b: int) -> int:
     return ((a & 0xFF00FF00) + (b & 0xFF00FF00)) & 0xFF00FF00 | ((a & 0x00FF00FF) + (b & 0x00FF00FF)) & 0x00FF00FF
 
 
-def predictions(out: list[int], width: int, modes: list[int], bits: int, i: int) -> int:
-    y, x = divmod(i, width)
-    if y == 0:
-        return out[i - 1] if x else OPAQUE_BLACK
-    if x == 0:
-        return out[i - width]
-    mode = modes[(y >> bits) * (-(-width >> bits)) + (x >> bits)] >> 8 & 255
-    return predict(mode, out[i - 1], out[i - width], out[i - width + 1], out[i - width - 1])
+#: Modes that don't need the pixel to the left, or only that.
+QUICK_MODES = (0, 1, 2, 3, 4, 8, 9)
 
 
 def invert_predictor(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    left, where = p.tolist(), modes.tolist()
-    out: list[int] = [0] * len(left)
-    for i, rest in enumerate(left):
-        out[i] = add_argb(rest, predictions(out, width, where, bits, i))
-    return np.array(out, np.uint32)
+    """Pixels from residuals: stretches of a quick mode as arrays, the others pixel by pixel."""
+    height = len(p) // width
+    out = np.empty(len(p), np.uint32)
+    out[:width] = _running(OPAQUE_BLACK, p[:width])
+    if height > 1:
+        out[::width] = _running(int(out[0]), p[width::width]) if height == 1 else np.concatenate([out[:1], _running(int(out[0]), p[width::width])])
+    for y, x0, x1, mode in mode_runs(modes, width, height, bits):
+        if x0 >= x1:
+            continue
+        i, j, up = y * width + x0, y * width + x1, y * width + x0 - width
+        n = x1 - x0
+        if mode == 1:
+            out[i:j] = _running(int(out[i - 1]), p[i:j])
+        elif mode in QUICK_MODES or mode > 13:
+            out[i:j] = _sum_bytes(p[i:j], predict(mode, None, out[up : up + n], out[up + 1 : up + n + 1], out[up - 1 : up + n - 1]))
+        else:
+            above = out[up - 1 : up + n + 1].tolist()
+            left, done = int(out[i - 1]), []
+            for k, rest in enumerate(p[i:j].tolist()):
+                left = add_argb(rest, predict(mode, left, above[k + 1], above[k + 2], above[k]))
+                done.append(left)
+            out[i:j] = done
+    return out
+
+
+def residuals(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    """What is left of pixels after their predictions."""
+    height = len(p) // width
+    expected = np.empty(len(p), np.uint32)
+    expected[0] = OPAQUE_BLACK
+    expected[1:width] = p[: width - 1]
+    expected[width::width] = p[:-width:width]
+    for y, x0, x1, mode in mode_runs(modes, width, height, bits):
+        i, j, up = y * width + x0, y * width + x1, y * width + x0 - width
+        n = x1 - x0
+        if n <= 0:
+            continue
+        around = p[i - 1 : j - 1], p[up : up + n], p[up + 1 : up + n + 1], p[up - 1 : up + n - 1]
+        expected[i:j] = predict(mode, *around) if mode < 11 or mode > 13 else [predict(mode, *x) for x in zip(*(c.tolist() for c in around), strict=True)]
+    return (p.view(np.uint8) - expected.view(np.uint8)).view(np.uint32)
+
+
+def _by_block(x: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Sums of a value per pixel over blocks."""
+    height = len(x) // width
+    rows = np.add.reduceat(x.reshape(height, width), np.arange(0, height, 1 << bits), axis=0)
+    return np.add.reduceat(rows, np.arange(0, width, 1 << bits), axis=1).ravel()
+
+
+def fit_modes(p: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The mode image: of the quick modes, the one of least residuals for each block."""
+    across, down = -(-width >> bits), -(-(len(p) // width) >> bits)
+    costs = []
+    for m in QUICK_MODES:
+        r = residuals(p, width, np.full(across * down, m << 8, np.uint32), bits).view(np.uint8)
+        costs.append(_by_block(np.minimum(r, -r).reshape(-1, 4).sum(axis=1, dtype=np.int64), width, bits))
+    best = np.array(QUICK_MODES, np.uint32)[np.argmin(costs, axis=0)]
+    return np.uint32(OPAQUE_BLACK) | best << np.uint32(8)
+
+
+def fit_factors(p: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The cross-colour image: per block the slopes of red on green, of blue on green, and of what is left of
+    blue on red."""
+    green, red, blue = (_signed(p >> np.uint32(s) & np.uint32(255)) for s in (8, 16, 0))
+    sums = lambda a, b: _by_block((a * b).astype(np.int64), width, bits)
+    slope = lambda top, bottom: np.clip(np.rint(32 * top / np.maximum(bottom, 1)), -128, 127).astype(np.int64)
+    gg = sums(green, green)
+    on_red, on_blue = slope(sums(red, green), gg), slope(sums(blue, green), gg)
+    left = sums(blue, red) - on_blue * sums(green, red) // 32
+    by_red = slope(left, sums(red, red))
+    return (OPAQUE_BLACK | (by_red & 255) << 16 | (on_blue & 255) << 8 | (on_red & 255)).astype(np.uint32)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -350,8 +505,8 @@ def undo_differences(p: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(channels).view(np.uint32).ravel()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file, (height, width) ARGB values."""
+def decode(data: bytes, tally: Counter | None = None) -> np.ndarray:
+    """The pixels of a lossless WebP file, (height, width) ARGB values.  ``tally`` counts what the file uses."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -369,6 +524,8 @@ def decode(data: bytes) -> np.ndarray:
     undo, inner = [], width
     while bits.read(1):
         kind = bits.read(2)
+        if tally is not None:
+            tally[TRANSFORMS[kind]] += 1
         if kind in (PREDICTOR, CROSS_COLOR):
             b = bits.read(3) + 2
             undo.append((kind, inner, read_image(bits, -(-inner >> b), -(-height >> b), False), b))
@@ -378,7 +535,7 @@ def decode(data: bytes) -> np.ndarray:
             n = bits.read(8) + 1
             undo.append((kind, inner, undo_differences(read_image(bits, n, 1, False)), 0))
             inner = -(-inner >> bundle_bits(n))
-    p = read_image(bits, inner, height, True)
+    p = read_image(bits, inner, height, True, tally)
     for kind, w, extra, b in reversed(undo):
         if kind == PREDICTOR:
             p = invert_predictor(p, w, extra, b)
@@ -394,97 +551,104 @@ def decode(data: bytes) -> np.ndarray:
 # Encoding
 
 
-def code_lengths(counts: Sequence[int], limit: int = 15) -> list[int]:
+def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
     """Huffman code lengths of at most ``limit`` bits; rare symbols count more while it is exceeded."""
-    import heapq
-
-    used = [s for s, c in enumerate(counts) if c]
-    lengths = [0] * len(counts)
+    counts = np.asarray(counts)
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
-        for s in used:
-            lengths[s] = 1
+        lengths[used] = 1
         return lengths
+    order = np.argsort(counts[used], kind="stable")
+    of, n = counts[used][order].tolist(), len(used)
     floor = 1
     while True:
-        heap = [(max(counts[s], floor), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
-        if max(depth.values()) <= limit:
-            for s, d in depth.items():
-                lengths[s] = d
+        # Leaves and joined nodes both come in ascending order: the two least are at the head of either.
+        weight = of if floor == 1 else [max(c, floor) for c in of]
+        joined, up = [], [0] * (2 * n - 2)
+        leaf = node = 0
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= len(joined) or weight[leaf] <= joined[node]):
+                    total += weight[leaf]
+                    up[leaf] = k
+                    leaf += 1
+                else:
+                    total += joined[node]
+                    up[n + node] = k
+                    node += 1
+            joined.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[up[i]] + 1
+        if depth[0] <= limit:
+            lengths[used[order]] = depth[:n]
             return lengths
         floor *= 2
 
 
-def canonical(lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (bits as written, number of bits)."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) < 2:
-        return {s: (0, 0) for _, s in used}
-    out, code, last = {}, 0, 0
-    for n, s in used:
-        code <<= n - last
-        last = n
-        out[s] = (reverse_bits(code, n), n)
-        code += 1
-    return out
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits as written, number of bits) by symbol; nothing is written for a single one."""
+    lengths = np.asarray(lengths)
+    code, width = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        n = lengths[order]
+        ends = np.cumsum(1 << (15 - n))
+        code[order], width[order] = reversed_bits(15)[ends - (1 << (15 - n))], n
+    return code, width
 
 
-def write_code(w: BitWriter, lengths: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """A code's description; returns its table."""
-    used = [s for s, n in enumerate(lengths) if n]
+def describe_code(lengths: np.ndarray) -> tuple[int, int]:
+    """A code's description: its bits and their number."""
+    used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
         first = used[0] if used else 0
-        w.write(1 | (len(used) == 2) << 1 | (first > 1) << 2, 3)
-        w.write(first, 8 if first > 1 else 1)
-        if len(used) == 2:
-            w.write(used[1], 8)
-        return canonical(lengths) if used else {0: (0, 0)}
-    runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    i = 0
-    while i < len(lengths):
-        n, j = lengths[i], i
-        while j < len(lengths) and lengths[j] == n:
-            j += 1
-        left = j - i
+        value, at = 1 | (len(used) == 2) << 1 | (first > 1) << 2 | first << 3, 11 if first > 1 else 4
+        return (value | used[1] << at, at + 8) if len(used) == 2 else (value, at)
+    edges = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
+    starts = [0, *edges.tolist()]
+    symbols: list[int] = []
+    extra: list[int] = []  # what follows a symbol, in EXTRA_BITS bits
+    for n, at, end in zip(lengths[starts].tolist(), starts, [*starts[1:], len(lengths)], strict=True):
+        left = end - at
         if n:
-            runs.append((n, 0, 0))
+            symbols.append(n)
+            extra.append(0)
             left -= 1
             while left >= 3:
                 k = min(left, 6)
-                runs.append((16, k - 3, 2))
+                symbols.append(16)
+                extra.append(k - 3)
                 left -= k
         else:
             while left >= 11:
                 k = min(left, 138)
-                runs.append((18, k - 11, 7))
+                symbols.append(18)
+                extra.append(k - 11)
                 left -= k
             if left >= 3:
-                runs.append((17, left - 3, 3))
+                symbols.append(17)
+                extra.append(left - 3)
                 left = 0
-        runs += [(n, 0, 0)] * left
-        i = j
-    counts = [0] * 19
-    for s, _, _ in runs:
-        counts[s] += 1
-    of_lengths = code_lengths(counts, 7)
-    order = [of_lengths[k] for k in LENGTH_ORDER]
-    n = max(4, max(i + 1 for i, x in enumerate(order) if x))
-    w.write(0, 1)
-    w.write(n - 4, 4)
+        if left:
+            symbols += [n] * left
+            extra += [0] * left
+    of_lengths = code_lengths(np.bincount(symbols, minlength=19), 7)
+    order = of_lengths[list(LENGTH_ORDER)].tolist()
+    n = max(4, max(i for i, x in enumerate(order) if x) + 1)
+    value, at = n - 4 << 1, 5
     for x in order[:n]:
-        w.write(x, 3)
-    w.write(0, 1)
-    table = canonical(of_lengths)
-    for s, extra, bits in runs:
-        w.write(*table[s])
-        w.write(extra, bits)
-    return canonical(lengths)
+        value |= x << at
+        at += 3
+    at += 1
+    code, width = (c.tolist() for c in canonical(of_lengths))
+    for s, v in zip(symbols, extra, strict=True):
+        value |= (code[s] | v << width[s]) << at
+        at += width[s] + EXTRA_BITS[s]
+    return value, at
 
 
 def to_prefix(value: int) -> tuple[int, int, int]:
@@ -497,61 +661,94 @@ def to_prefix(value: int) -> tuple[int, int, int]:
     return 2 * top + half, v & ((1 << top - 1) - 1), top - 1
 
 
-def write_image(w: BitWriter, p: Sequence[int], width: int, main: bool, cache_bits: int = 0, lz: bool = False) -> None:
-    """An entropy-coded image with Huffman codes of its own, with back-references (``lz``) and a cache."""
-    p = [int(x) for x in p]
-    ops: list[tuple] = []
-    seen = [None] * (1 << cache_bits) if cache_bits else None
-    last: dict[tuple, int] = {}
-    short = {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(near_offsets())))}
-    i = 0
-    while i < len(p):
-        n = d = 0
-        key = tuple(p[i : i + 3])
-        if lz and (j := last.get(key)) is not None:
-            d = i - j
-            while i + n < len(p) and n < 4096 and p[i + n] == p[i + n - d]:
-                n += 1
+@lru_cache(maxsize=64)
+def short_distances(width: int) -> dict[int, int]:
+    """The code of each distance that has a short one."""
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(near_offsets())))}
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def find_copies(p: np.ndarray, longest: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of back-references of three pixels or more, greedily from the left; each goes
+    to the last place with the same three pixels."""
+    if len(p) < 4:
+        return []
+    x = p.astype(np.uint64)
+    keys = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
+    last = _before(keys)
+    found, free = [], 0
+    for i in np.flatnonzero(last >= 0).tolist():
+        if i < free:
+            continue
+        j = int(last[i])
+        differ = p[i : i + longest] != p[j : j + min(longest, len(p) - i)]
+        n = int(differ.argmax()) if differ.any() else len(differ)
         if n >= 3:
-            ops.append(("copy", n, short.get(d, d + 120)))
-        else:
-            n = 1
-            slot = (CACHE_FACTOR * p[i] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            ops.append(("cache", slot, 0) if seen is not None and seen[slot] == p[i] else ("pixel", p[i], 0))
-        for k in range(i, i + n):
-            last[tuple(p[k : k + 3])] = k
-            if seen is not None:
-                seen[(CACHE_FACTOR * p[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = p[k]
-        i += n
+            found.append((i, n, i - j))
+            free = i + n
+    return found
+
+
+def write_image(w: BitWriter, p: np.ndarray, width: int, main: bool, cache_bits: int = 0, lz: bool = False, longest: int = 15, shared: bool = False) -> None:
+    """An entropy-coded image with Huffman codes of its own, with back-references (``lz``) and a cache; with
+    ``shared`` red, blue and alpha have the same code."""
+    p = np.ascontiguousarray(p, np.uint32)
+    copies = find_copies(p) if lz else []
+    literal = np.ones(len(p), bool)
+    for i, n, _ in copies:
+        literal[i + 1 : i + n] = False
+    at = np.flatnonzero(literal)
+    channel = p[at].view(np.uint8).reshape(-1, 4).astype(np.int64)  # blue, green, red, alpha
+    # A token: its green symbol, then red, blue and alpha, or the extra bits and distance of a copy.
+    is_copy, hit = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    green = channel[:, 1].copy()
+    spare, spare_bits, far, far_bits = (np.zeros(len(at), np.int64) for _ in range(4))
+    distance = np.full(len(at), -1)
+    if copies:
+        k = np.searchsorted(at, [c[0] for c in copies])
+        is_copy[k] = True
+        short = short_distances(width)
+        lengths, backs = [to_prefix(n) for _, n, _ in copies], [to_prefix(short.get(d, d + 120)) for _, _, d in copies]
+        green[k], spare[k], spare_bits[k] = (np.array(c) for c in zip(*[(256 + a, b, c) for a, b, c in lengths], strict=True))
+        distance[k], far[k], far_bits[k] = (np.array(c) for c in zip(*backs, strict=True))
+    if cache_bits:
+        slots = (p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
+        before = _before(slots)
+        known = (before >= 0) & (p[before] == p)
+        hit = known[at] & ~is_copy
+        green[hit] = 280 + slots[at][hit]
+    pixel = ~is_copy & ~hit
     w.write(1 if cache_bits else 0, 1)
     if cache_bits:
         w.write(cache_bits, 4)
     if main:
         w.write(0, 1)
-    counts = [[0] * n for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
-    for kind, v, d in ops:
-        if kind == "pixel":
-            a, r, g, b = _bytes(v)
-            for c, s in zip(counts, (g, r, b, a), strict=False):
-                c[s] += 1
-        elif kind == "copy":
-            counts[0][256 + to_prefix(v)[0]] += 1
-            counts[4][to_prefix(d)[0]] += 1
-        else:
-            counts[0][280 + v] += 1
-    tables = [write_code(w, code_lengths(c)) for c in counts]
-    for kind, v, d in ops:
-        if kind == "pixel":
-            a, r, g, b = _bytes(v)
-            for t, s in zip(tables, (g, r, b, a), strict=False):
-                w.write(*t[s])
-        elif kind == "copy":
-            for table, base, value in ((tables[0], 256, v), (tables[4], 0, d)):
-                s, extra, bits = to_prefix(value)
-                w.write(*table[base + s])
-                w.write(extra, bits)
-        else:
-            w.write(*tables[0][280 + v])
+    red, blue, alpha = channel[:, 2], channel[:, 0], channel[:, 3]
+    counts = [np.bincount(green, minlength=280 + (1 << cache_bits if cache_bits else 0))]
+    counts += [np.bincount(c[pixel], minlength=256) for c in (red, blue, alpha)] + [np.bincount(distance[is_copy], minlength=40)]
+    if shared:
+        counts[1:4] = [counts[1] + counts[2] + counts[3]] * 3
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, c in enumerate(counts):
+        if k not in (2, 3) or not shared:
+            lengths = code_lengths(c, longest)
+            described, table = describe_code(lengths), canonical(lengths)
+        w.write(*described)
+        tables.append(table)
+    (gc, gw), (rc, rw), (bc, bw), (ac, aw), (dc, dw) = tables
+    far_symbol = np.maximum(distance, 0)
+    pick = lambda a, b: np.where(pixel, a, np.where(is_copy, b, 0))
+    values = np.stack([gc[green], pick(rc[red], spare), pick(bc[blue], dc[far_symbol]), pick(ac[alpha], far)], 1)
+    widths = np.stack([gw[green], pick(rw[red], spare_bits), pick(bw[blue], dw[far_symbol]), pick(aw[alpha], far_bits)], 1)
+    w.write_many(values.ravel(), widths.ravel())
 
 
 def wrap(stream: bytes) -> bytes:
@@ -559,11 +756,22 @@ def wrap(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def encode(pixels: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0, lz: bool = False, modes: Sequence[int] = (11,), factors: int = 0x00102030, block_bits: int = 3) -> bytes:
+def encode(
+    pixels: np.ndarray,
+    transforms: Sequence[int] = (),
+    cache_bits: int = 0,
+    lz: bool = False,
+    modes: Sequence[int] | None = (11,),
+    factors: int | None = 0x00102030,
+    block_bits: int = 3,
+    longest: int = 15,
+    shared: bool = False,
+) -> bytes:
     """A lossless WebP file of (height, width) ARGB values, with any of the format's means.
 
-    ``transforms`` are applied in the order given; the predictor takes ``modes`` in turn over its blocks,
-    cross-colour uses ``factors`` everywhere, colour indexing needs at most 256 colours.
+    ``transforms`` are applied in the order given.  The predictor takes ``modes`` in turn over its blocks,
+    cross-colour uses ``factors`` everywhere; None fits them to each block.  Colour indexing needs at most 256
+    colours.  Codes have ``longest`` bits at most; ``shared`` is for channels of the same kind of values.
     """
     height, width = pixels.shape
     p, inner = np.ascontiguousarray(pixels, np.uint32).ravel(), width
@@ -572,19 +780,17 @@ def encode(pixels: np.ndarray, transforms: Sequence[int] = (), cache_bits: int =
         w.write(value, n)
     for kind in transforms:
         w.write(1 | kind << 1, 3)
-        blocks = -(-inner >> block_bits) * -(-height >> block_bits)
+        across = -(-inner >> block_bits)
+        blocks = across * -(-height >> block_bits)
         if kind == PREDICTOR:
             w.write(block_bits - 2, 3)
-            chosen = [0xFF000000 | modes[i % len(modes)] << 8 for i in range(blocks)]
-            write_image(w, chosen, -(-inner >> block_bits), False)
-            out = p.tolist()
-            negative = [predictions(out, inner, chosen, block_bits, i) for i in range(len(out))]
-            a, b = p.view(np.uint8), np.array(negative, np.uint32).view(np.uint8)
-            p = (a - b).view(np.uint32)
+            chosen = fit_modes(p, inner, block_bits) if modes is None else np.uint32(OPAQUE_BLACK) | np.resize(np.array(modes, np.uint32), blocks) << np.uint32(8)
+            write_image(w, chosen, across, False)
+            p = residuals(p, inner, chosen, block_bits)
         elif kind == CROSS_COLOR:
             w.write(block_bits - 2, 3)
-            f = np.full(blocks, 0xFF000000 | factors, np.uint32)
-            write_image(w, f, -(-inner >> block_bits), False)
+            f = fit_factors(p, inner, block_bits) if factors is None else np.full(blocks, OPAQUE_BLACK | factors, np.uint32)
+            write_image(w, f, across, False)
             p = cross_color(p, inner, f, block_bits, -1)
         elif kind == SUBTRACT_GREEN:
             p = shift_green(p, -1)
@@ -594,54 +800,30 @@ def encode(pixels: np.ndarray, transforms: Sequence[int] = (), cache_bits: int =
                 raise ValueError("more than 256 colours")
             w.write(len(palette) - 1, 8)
             bytes_ = palette.view(np.uint8).reshape(-1, 4)
-            write_image(w, np.concatenate([bytes_[:1], bytes_[1:] - bytes_[:-1]]).view(np.uint32).ravel(), len(palette), False)
+            write_image(w, np.concatenate([bytes_[:1], bytes_[1:] - bytes_[:-1]]).view(np.uint32).ravel(), len(palette), False, longest=longest, shared=shared)
             b = bundle_bits(len(palette))
             rows = index.reshape(height, inner).astype(np.uint32)
             inner = -(-inner >> b)
             rows = np.pad(rows, ((0, 0), (0, (inner << b) - rows.shape[1]))).reshape(height, inner, 1 << b)
             p = (rows << (np.arange(1 << b, dtype=np.uint32) * np.uint32(8 >> b))).sum(axis=2, dtype=np.uint32).ravel() << np.uint32(8) | np.uint32(OPAQUE_BLACK)
     w.write(0, 1)
-    write_image(w, p, inner, True, cache_bits, lz)
+    write_image(w, p, inner, True, cache_bits, lz, longest, shared)
     return wrap(w.bytes())
 
 
-@cache
-def _flat_lengths(n: int, alphabet: int) -> tuple[int, int]:
-    """The description of a code of ``n`` (a power of two) symbols of one length, as (bits, count)."""
-    w = BitWriter()
-    write_code(w, [n.bit_length() - 1] * n + [0] * (alphabet - n))
-    return int.from_bytes(w.bytes(), "little"), w.length
-
-
-def encode_samples(samples: np.ndarray) -> bytes:
-    """A gray image of 8-bit samples, (height, width): a palette of the values that occur, padded to a
-    power of two, and indices in a code of one length, so that both sides are array operations."""
-    height, width = samples.shape
-    flat = samples.ravel()
-    values = np.flatnonzero(np.bincount(flat, minlength=256)).astype(np.uint8)
-    n = max(32, 1 << (len(values) - 1).bit_length())
-    palette = np.concatenate([values, np.full(n - len(values), values[-1], np.uint8)])
-    w = BitWriter()
-    for value, bits in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1 | COLOR_INDEXING << 1, 3), (n - 1, 8), (0, 1)):
-        w.write(value, bits)
-    w.write(*_flat_lengths(256, 280))
-    write_code(w, [1] + [0] * 255)
-    write_code(w, [1] + [0] * 255)
-    write_code(w, [1] + [0] * 254 + [1])
-    write_code(w, [1] + [0] * 39)
-    step = np.diff(palette, prepend=np.uint8(0)).astype(np.uint8)
-    bits = np.concatenate([np.unpackbits(step[:, None], axis=1), (np.arange(n) == 0).astype(np.uint8)[:, None]], axis=1)
-    w.write(int.from_bytes(np.packbits(bits.ravel(), bitorder="little").tobytes(), "little"), 9 * n)
-    w.write(0, 3)
-    w.write(*_flat_lengths(n, 280))
-    for alphabet in (256, 256, 256, 40):
-        write_code(w, [1] + [0] * (alphabet - 1))
-    rank = np.zeros(256, np.uint8)
-    rank[values] = np.arange(len(values), dtype=np.uint8)
-    head = np.unpackbits(np.frombuffer(w.bytes(), np.uint8), bitorder="little")[: w.length]
-    width_bits = n.bit_length() - 1
-    body = np.unpackbits(rank[flat][:, None], axis=1)[:, 8 - width_bits :].ravel()
-    return wrap(np.packbits(np.concatenate([head, body]), bitorder="little").tobytes())
+#: Chains of transforms for payloads of more than 256 colours; the payload's checksum deals them out, so that
+#: every inverse transform has its share of stored rows.
+CHAINS = ((SUBTRACT_GREEN,), (PREDICTOR,), (PREDICTOR, CROSS_COLOR), (CROSS_COLOR, SUBTRACT_GREEN))
+
+
+def encode_payload(rows: np.ndarray) -> bytes:
+    """(height, ROW) bytes as an image of four bytes to a pixel: with a palette if there are at most 256
+    colours, else with one of CHAINS and a colour cache; always with back-references and Huffman codes."""
+    pixels = np.ascontiguousarray(rows).view("<u4").astype(np.uint32)
+    if len(np.unique(pixels)) <= 256:
+        return encode(pixels, (COLOR_INDEXING,), lz=True, longest=CODE_BITS, shared=True)
+    chain = CHAINS[zlib.crc32(rows) % len(CHAINS)]
+    return encode(pixels, chain, CACHE_BITS, True, None, None, BLOCK_BITS, CODE_BITS, True)
 
 
 # Media columns
@@ -655,21 +837,21 @@ def to_payload(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """A payload as one image, or several after each other where one has no room."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return b"".join(encode_samples(rows[i : i + PAYLOAD_ROWS]) for i in range(0, len(rows), PAYLOAD_ROWS))
+    return b"".join(encode_payload(rows[i : i + PAYLOAD_ROWS]) for i in range(0, len(rows), PAYLOAD_ROWS))
 
 
-def load(media: bytes) -> np.ndarray:
-    """The samples of stored media, (rows, ROW)."""
+def load(media: bytes, tally: Counter | None = None) -> np.ndarray:
+    """The bytes of stored media, (rows, ROW)."""
     parts, at = [], 0
     while at < len(media):
         end = at + 8 + struct.unpack_from("<I", media, at + 4)[0]
-        parts.append((decode(media[at:end]) >> np.uint32(8)).astype(np.uint8))
+        parts.append(decode(media[at:end], tally).astype("<u4").view(np.uint8))
         at = end
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def feature(samples: np.ndarray) -> str:
-    """Mean and deviation of the samples and which of 64 equal stretches are brighter than the whole."""
+    """Mean and deviation of the bytes and which of 64 equal stretches are above the whole's mean."""
     total = samples.size
     mean = samples.sum(dtype=np.int64) / total
     square = np.square(samples, dtype=np.uint16).sum(dtype=np.int64) / total
@@ -680,10 +862,9 @@ def feature(samples: np.ndarray) -> str:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every whole text in UTF-8 as lossless WebP.  Null counts as empty: a payload
     of ROW padding bytes.  Equal texts give equal media; rows keep their number."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = [(t.as_py() or "").encode("utf-8") for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(map(len, data), pa.int64()), pa.array([store(to_payload(d)) for d in data], pa.binary())], names=[id_col, "n_bytes", "media"])
 
@@ -693,13 +874,13 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the
-    media column of store_texts, all but n_bytes from the stored bytes."""
-    bounded_batches(stored.sparkSession)
+    media column of store_texts, all but n_bytes from the stored bytes.  Rows keep their number, repeated ones
+    too; an empty table gives none.  Media that aren't lossless WebP raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in batches:
+        for b in slices(batches):
             out = []
             for m in b.column(2):
                 media = m.as_py()
