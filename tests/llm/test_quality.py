@@ -69,3 +69,37 @@ def test_training_tells_junk_from_prose(spark):
     crf = fit_crf([np.array(parse_lines(r["text"].encode())[0]) for r in rows[:half]], [r["quality"] for r in rows[:half]])
     wrong = sum(judge(r["text"], crf)[6] != (r["quality"] == 1 and not judge(r["text"], crf)[5]) for r in rows[half:])
     assert wrong <= 0.02 * half
+
+
+def test_labels_decide():
+    """Junk of no kind that PRIOR knows, learned from labels; flipped labels flip the verdicts."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    plain = lambda: "\n".join(" ".join("".join(r.choices("aeioulmnrst", k=6)) for _ in range(12)) for _ in range(6))
+    digits = lambda: "\n".join(" ".join(str(r.randrange(10**6)) for _ in range(12)) for _ in range(6))
+    docs = [plain() for _ in range(60)] + [digits() for _ in range(60)]
+    x = [np.array(parse_lines(d.encode())[0]) for d in docs]
+    labels = [1] * 60 + [0] * 60
+    crf, flipped = fit_crf(x, labels), fit_crf(x, [1 - y for y in labels])
+    for text, good in [(plain(), True) for _ in range(20)] + [(digits(), False) for _ in range(20)]:
+        assert judge(text, crf)[6] == good and judge(text, flipped)[6] != good
+
+
+def test_learned_paths_are_best(spark):
+    import random
+
+    import numpy as np
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    crf = train_line_crf(docs, labels)
+    assert crf != PRIOR
+    r = random.Random(8)
+    lines = [x for d in docs.select("text").limit(200).collect() for x in parse_lines((d["text"] or "").encode())[0]]
+    for _ in range(200):
+        rows = [r.choice(lines) for _ in range(r.randint(0, 8))]
+        y = tuple(crf.viterbi(rows))
+        score = lambda y: sum(float(np.dot(crf.weights, x)) for x, v in zip(rows, y) if v) + sum(crf.transitions[a][b] for a, b in zip(y, y[1:]))
+        assert abs(score(y) - score(best_path(crf, rows))) < 1e-9

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import bounded_batches
+from weft.session import slices
 
 SPACE = b" \t\n\x0b\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -22,8 +22,9 @@ NOT_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 FEATURES = ("bias", "symbols", "exclamations", "bars", "upper", "digits", "letters", "few_words", "seen_before", "word_twice", "log_words")
 #: Least share of a document's words that stands in content lines.
 LEAST_CONTENT = 0.5
-#: Bounds of the training sample: labelled documents, and characters of one.
-TRAIN_DOCS, TRAIN_CHARS = 1000, 10_000
+#: Bounds of the training sample: labelled documents, characters and lines of one.  The driver holds
+#: documents x lines x features numbers at most, 35 MB.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 1000, 10_000, 400
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> tuple[float, ...]:
@@ -77,45 +78,58 @@ class LineCrf:
         return path[::-1]
 
 
-#: What judges where there are no labels: hand-set, symbols, shouting, bars and stuttering against content.
+#: What judges where there are no labels, and only there: hand-set, symbols, shouting, bars and stuttering
+#: against content.
 PRIOR = LineCrf((2.0, -6.0, -6.0, -6.0, -4.0, -3.0, 1.0, -0.5, -1.0, -6.0, 0.5), ((0.5, -0.5), (-0.5, 0.5)))
 
 
-def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 0.5, ridge: float = 1e-2) -> LineCrf:
-    """Largest posterior under a Gaussian around PRIOR, by gradient ascent with momentum; forward-backward
-    runs over all documents at once.
-    ``docs``: (lines, features); every line of a document has the document's label."""
+def fit_crf(docs: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> LineCrf:
+    """Largest posterior under a Gaussian around zero, by gradient ascent with per-weight steps; forward-backward
+    runs over all documents at once.  Features are divided by their root mean square over the training lines, so
+    the ridge weighs on all alike; the weights returned are for features as they are.
+
+    ``docs``: (lines, features); every line of a document has the document's label.  A document has the same
+    weight whatever its lines, and both labels weigh the same in all."""
     docs, labels = zip(*[(d, y) for d, y in zip(docs, labels, strict=True) if len(d)], strict=True)
     n, long, k = len(docs), max(map(len, docs)), len(FEATURES)
     x, mask = np.zeros((long, n, k)), np.zeros((long, n), bool)
     for i, d in enumerate(docs):
         x[: len(d), i], mask[: len(d), i] = d, True
+    lines = mask.sum(axis=0)
+    scale = np.sqrt((x * x).sum((0, 1)) / lines.sum())
+    scale[scale == 0] = 1.0
+    x /= scale
     y = np.array(labels)
-    inside = mask[1:]
-    total = mask.sum()
-    seen_t = np.array([[(inside & (y == 0)).sum(), 0], [0, (inside & (y == 1)).sum()]], float)
-    seen_w = (x * (mask & (y == 1))[..., None]).sum((0, 1))
-    w0, t0 = np.array(PRIOR.weights), np.array(PRIOR.transitions)
-    w, t, vw, vt = w0.copy(), t0.copy(), np.zeros(k), np.zeros((2, 2))
-    for _ in range(steps):
+    share = np.array([(y == 0).sum(), (y == 1).sum()])[y]
+    weight = 1.0 / (2 * share * lines)  # of each line of a document
+    inside = mask[1:] * weight
+    every = mask * weight
+    seen_t = np.diag([inside[:, y == 0].sum(), inside[:, y == 1].sum()])
+    seen_w = (x[:, y == 1] * every[:, y == 1, None]).sum((0, 1))
+    w, t = np.zeros(k), np.zeros((2, 2))
+    mean, square = np.zeros(k + 4), np.zeros(k + 4)
+    for step in range(1, steps + 1):
         emit = np.stack([np.zeros((long, n)), x @ w], axis=-1)
         fore, aft = np.zeros((long, n, 2)), np.zeros((long, n, 2))
         fore[0] = emit[0]
         for i in range(1, long):
-            step = np.logaddexp(fore[i - 1, :, 0, None] + t[0], fore[i - 1, :, 1, None] + t[1]) + emit[i]
-            fore[i] = np.where(mask[i][:, None], step, fore[i - 1])
+            go = np.logaddexp(fore[i - 1, :, 0, None] + t[0], fore[i - 1, :, 1, None] + t[1]) + emit[i]
+            fore[i] = np.where(mask[i][:, None], go, fore[i - 1])
         z = np.logaddexp(fore[-1, :, 0], fore[-1, :, 1])
         for i in range(long - 2, -1, -1):
             to = emit[i + 1] + aft[i + 1]
-            step = np.logaddexp(t[:, 0] + to[:, 0, None], t[:, 1] + to[:, 1, None])
-            aft[i] = np.where(mask[i + 1][:, None], step, 0.0)
-        content = np.exp(fore[..., 1] + aft[..., 1] - z) * mask
+            go = np.logaddexp(t[:, 0] + to[:, 0, None], t[:, 1] + to[:, 1, None])
+            aft[i] = np.where(mask[i + 1][:, None], go, 0.0)
+        content = np.exp(np.minimum(0.0, fore[..., 1] + aft[..., 1] - z)) * every
         pair = np.exp(np.minimum(0.0, fore[:-1, :, :, None] + t + (emit[1:] + aft[1:])[:, :, None, :] - z[:, None, None])) * inside[..., None, None]
-        gw = (seen_w - (x * content[..., None]).sum((0, 1))) / total - ridge * (w - w0)
-        gt = (seen_t - pair.sum((0, 1))) / total - ridge * (t - t0)
-        vw, vt = 0.9 * vw + rate * gw * 3, 0.9 * vt + rate * gt
-        w, t = w + vw, t + vt
-    return LineCrf(tuple(map(float, w)), tuple(tuple(map(float, r)) for r in t))
+        gw = seen_w - (x * content[..., None]).sum((0, 1)) - ridge * w
+        gt = seen_t - pair.sum((0, 1)) - ridge * t
+        g = np.concatenate([gw, gt.ravel()])
+        mean += 0.1 * (g - mean)
+        square += 0.01 * (g * g - square)
+        move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        w, t = w + move[:k], t + move[k:].reshape(2, 2)
+    return LineCrf(tuple(map(float, w / scale)), tuple(tuple(map(float, r)) for r in t))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -178,7 +192,8 @@ VERDICT_DDL = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines
 def train_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> LineCrf:
     """The CRF of ``labels`` (doc_id, quality 0/1) over ``docs`` (doc_id, text), the lines of a document
     taking its label.  At most ``max_docs`` labelled documents train, those of least md5(doc_id), each of at
-    most ``max_chars`` characters.  Where either label is missing the answer is PRIOR."""
+    most ``max_chars`` characters and TRAIN_LINES lines with a word.  Where either label is missing the answer
+    is PRIOR.  Null texts don't train; rows of one doc_id train each, with the least of its labels."""
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     few = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(order, "doc_id").limit(max_docs)
     rows = docs.where(F.char_length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").collect()
@@ -186,7 +201,8 @@ def train_line_crf(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOC
     if len({r["quality"] for r in rows}) < 2:
         return PRIOR
     x = [np.array(parse_lines(r["text"].encode())[0]) for r in rows]
-    return fit_crf(x, [r["quality"] for r in rows]) if sum(map(len, x)) else PRIOR
+    some = [(d, r["quality"]) for d, r in zip(x, rows, strict=True) if 0 < len(d) <= TRAIN_LINES]
+    return fit_crf(*map(list, zip(*some, strict=True))) if len({y for _, y in some}) == 2 else PRIOR
 
 
 def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,10 +212,8 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
     One pass, no shuffle.  Null text counts as empty: no words, base_failed.  Repeated rows repeat, empty
     input gives empty output, other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t.as_py(), crf) for t in b.column(1)]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(VERDICT.values())]
             yield pa.record_batch([b.column(0), *cols], names=[id_col, *VERDICT])
@@ -209,11 +223,11 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, crf: LineCrf, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the same columns."""
-    bounded_batches(docs.sparkSession)
+    """The rows of ``docs`` that the rules keep, with the same columns.  A null or empty text isn't kept;
+    repeated rows are judged alike and stay repeated; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([judge(t.as_py(), crf)[6] for t in b.column(text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
