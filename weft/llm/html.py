@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import bounded_batches, durable
+from weft.session import durable, slices
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name, up to its end: a quote counts after "=" only.  Possessive, so it never goes back.
+REST = re.compile(r"""((?:[^"'<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>)?""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.IGNORECASE)
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|_")
 
 # What elements are, by the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,21 +34,29 @@ IMPLIED_END = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPE = frozenset("html body article aside main section div ul ol dl table tbody thead tfoot select nav header footer form blockquote figure".split())
 CLOSES_P = BLOCKS - {"option", "optgroup", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.IGNORECASE) for t in RAW}
 CHROME_TAGS = frozenset("head nav footer aside form button select input menu dialog svg canvas object embed audio video map datalist label".split()) | RAW
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that name something around an article.
-CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar cookie cookies consent gdpr notice notices notification "
-    "popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs footer masthead "
-    "comment comments respond disqus reply replies share sharing social related recommended recommendations widget toolbar pagination pager search legal skip".split()
+#: Whole class names and ids, in lower case with hyphens, that mean something around an article wherever they are.
+CHROME_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising ad-banner ad-slot sponsored sponsored-content promo sidebar site-sidebar widget widget-area "
+    "cookie-banner cookie-bar cookie-consent cookie-notice gdpr consent-banner popup modal overlay newsletter newsletter-signup subscribe-box "
+    "nav navbar navigation site-nav main-nav menu main-menu breadcrumb breadcrumbs footer site-footer page-footer masthead site-header "
+    "comments comment-list comment-section comments-area respond disqus-thread share share-bar share-buttons sharing social social-links social-share "
+    "related-posts related-articles related-links recommended-posts recommendations pagination pager toolbar skip-link".split()
+)
+#: More of them, where no article or main element says what the text is.
+OUTER_NAMES = CHROME_NAMES | frozenset(
+    "banner comment consent cookie cookies legal login notice notices notification promotion recommended related replies reply search signup sponsor subscribe subscription header".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Inside an article these hold its prose and are never taken for a template.
+#: Inside an article element these hold its prose and are never taken for a template: what many articles quote
+#: is theirs.
 PROSE = HEADINGS | frozenset("p blockquote pre figcaption caption td th li dt dd".split())
 KEEP_WHOLE = frozenset("html body main article".split())
 
-#: "Many pages" of a host: at least so many different pages, and this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.05
+#: "Many pages" of a host: this share of its different pages, but at least and at most so many.
+MIN_PAGES, MIN_SHARE, ENOUGH_PAGES = 5, 0.05, 50
 #: Templates up to this number go to every worker as 8 bytes each; more are joined by a shuffle.
 BROADCAST_TEMPLATES = 500_000
 
@@ -61,77 +72,109 @@ class Node(NamedTuple):
 
 
 def parse(page: str) -> Node:
-    """A forgiving element tree: unknown end tags are ignored, open elements end with their parents."""
+    """A forgiving element tree: unknown end tags are ignored, open elements end with their parents.
+
+    One pass: the open elements of each name are known by their depths, so nothing is searched in the stack.
+    A tag whose quotes don't close ends at the next ">"; one that the page's end cuts off is dropped with what
+    follows, as is an unclosed comment."""
     root = Node("#root", frozenset(), "", False, [])
-    stack, at = [root], 0
+    stack, at, n = [root], 0, len(page)
+    depths: dict[str, list[int]] = {}  # of the open elements of each name
+    scopes: list[int] = [0]
 
     def close_to(depth: int) -> None:
-        del stack[depth:]
-
-    for m in iter(lambda: TOKEN.search(page, at), None):
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            depths[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            stack[-1].children.append(page[at:])
+            break
+        after = page[lt + 1 : lt + 2]
+        if after == "!" or after == "?":
+            opening, closing = ("<!--", "-->") if page.startswith("<!--", lt) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", lt) else ("<!", ">")
+            if lt > at:
+                stack[-1].children.append(page[at:lt])
+            end = page.find(closing, lt + len(opening))
+            at = n if end < 0 else end + len(closing)
             continue
-        if m[1] or m[4]:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == name:
-                    close_to(d)
-                    break
+        ending = after == "/"
+        m = NAME.match(page, lt + 1 + ending)
+        if m is None:  # no tag: the sign is text
+            stack[-1].children.append(page[at : lt + 1])
+            at = lt + 1
             continue
-        if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d].tag == "p":
-                    close_to(d)
-                    break
-                if stack[d].tag in SCOPE:
-                    break
+        if lt > at:
+            stack[-1].children.append(page[at:lt])
+        rest = REST.match(page, m.end())
+        if rest[2]:
+            attributes, at = rest[1], rest.end()
+        else:
+            gt = page.find(">", m.end())
+            if gt < 0:
+                break
+            attributes, at = page[m.end() : gt], gt + 1
+        name = m[0].lower()
+        if ending:
+            if depths.get(name):
+                close_to(depths[name][-1])
+            continue
+        if name in CLOSES_P and (d := depths.get("p")) and d[-1] > scopes[-1]:
+            close_to(d[-1])
         if name in IMPLIED_END:
-            d = len(stack) - 1
-            while d > 0 and stack[d].tag not in SCOPE:
-                if stack[d].tag in IMPLIED_END[name]:
-                    close_to(d)
-                d -= 1
-        names, role, hidden = set(), "", False
-        attributes = m[3] or m[6] or ""
+            bottom = scopes[-1]
+            above = [d[k] for t in IMPLIED_END[name] if (d := depths.get(t)) and (k := bisect_right(d, bottom)) < len(d)]
+            if above:
+                close_to(min(above))
+        names, role, hidden = (), "", False
         if attributes:
+            found = set()
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id"):
-                    names.update(w.lower() for w in NAME_PART.findall(value))
+                    found.update(HUMP.sub("-", w).lower() for w in value.split())
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                     hidden = True
                 elif key == "itemprop" and value == "articleBody":
-                    names.add("articlebody")
+                    found.add("article-body")
+            names = found
         node = Node(name, frozenset(names), role, hidden, [])
         stack[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else n
         elif name not in VOID and not attributes.endswith("/"):
+            depths.setdefault(name, []).append(len(stack))
+            if name in SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
-    if at < len(page):
-        stack[-1].children.append(page[at:])
     return root
 
 
-def is_chrome(node: Node, in_article: bool) -> bool:
-    """Whether markup alone says that the element isn't main text."""
+def is_chrome(node: Node, in_main: bool) -> bool:
+    """Whether markup alone says that the element isn't main text.  Inside an article only tags, roles and
+    names that can mean nothing else count."""
     if node.tag in CHROME_TAGS or node.hidden or node.role in CHROME_ROLES:
         return True
     if node.tag in KEEP_WHOLE:
         return node.tag == "article" and not node.names.isdisjoint({"comment", "comments", "reply"})
-    if not in_article and (node.tag == "header" or "header" in node.names):
-        return True
-    return not node.names.isdisjoint(CHROME_WORDS)
+    if in_main:
+        return not node.names.isdisjoint(CHROME_NAMES)
+    return node.tag == "header" or not node.names.isdisjoint(OUTER_NAMES)
 
 
 def is_main(node: Node) -> bool:
-    return node.tag in ("article", "main") or node.role in ("main", "article") or "articlebody" in node.names
+    return node.tag == "main" or node.role == "main"
+
+
+def is_article(node: Node) -> bool:
+    return node.tag == "article" or node.role == "article" or "article-body" in node.names
 
 
 def squeeze(text: str) -> str:
@@ -139,21 +182,9 @@ def squeeze(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def text_of(node: Node) -> str:
-    """All text below, for hashing and measuring."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            todo.extend(reversed(x.children))
-    return squeeze(" ".join(out))
-
-
 def subtree_keys(root: Node, host: str) -> tuple[np.ndarray, dict[int, int]]:
     """(keys, by node id): a 64-bit key of host and subtree for every element that could be a template:
-    blocks with text, but not the page's frame and not prose inside an article."""
+    blocks with text, but not the page's frame and not prose inside an article element."""
     by: dict[int, int] = {}
 
     def walk(root: Node) -> None:
@@ -162,7 +193,7 @@ def subtree_keys(root: Node, host: str) -> tuple[np.ndarray, dict[int, int]]:
         while todo:
             node, in_article = todo.pop()
             order.append((node, in_article))
-            inside = in_article or is_main(node)
+            inside = in_article or is_article(node)
             todo.extend((c, inside) for c in node.children if not isinstance(c, str))
         digest: dict[int, bytes] = {}
         texts: dict[int, bool] = {}
@@ -185,46 +216,49 @@ def subtree_keys(root: Node, host: str) -> tuple[np.ndarray, dict[int, int]]:
     return np.unique(np.fromiter(by.values(), np.uint64, len(by))), by
 
 
-def extract(page: str | None, host: str = "", templates=frozenset()) -> str:
+def extract(page: str | None, host: str = "", templates=frozenset(), tally: dict | None = None) -> str:
     """The main text of a page: blocks joined by two line ends.
 
-    Elements that are chrome by tag, role, class or id, and subtrees whose key is in ``templates``, go with
-    all below them.  Where an article or main element is left, only what is inside such elements counts,
-    else the whole body does.  In an article's own header only headings count.
+    Subtrees whose key is in ``templates`` go first, with all below them, then elements that are chrome by tag,
+    role, class or id.  Text counts inside main elements; where these have none, inside articles; where these
+    have none either, in the whole body.  In an article's own header only headings count.  A null or empty page
+    has an empty text.  ``tally`` counts subtrees removed as templates.
     """
     if not page:
         return ""
     root = parse(page)
     by = subtree_keys(root, host)[1] if templates else {}
+    if tally is not None:
+        tally["templates"] = sum(k in templates for k in by.values())
 
-    def blocks(only_main: bool) -> tuple[list[str], bool]:
+    def blocks(region) -> list[str]:
         out: list[str] = []
         line: list[str] = []
-        found = False
 
         def end() -> None:
             if line and (text := squeeze("".join(line))):
                 out.append(text)
             line.clear()
 
-        todo: list = [(root, not only_main, False, False)]
+        todo: list = [(root, region is None, False, False)]
         while todo:
             item = todo.pop()
             if item is None:
                 end()
                 continue
-            node, counts, in_article, heading_only = item
+            node, counts, in_main, heading_only = item
             if isinstance(node, str):
                 if counts and not heading_only:
                     line.append(node)
                 continue
-            if is_chrome(node, in_article) or by.get(id(node)) in templates:
+            if by.get(id(node)) in templates or is_chrome(node, in_main):
                 if node.tag in BLOCKS:
                     end()
                 continue
-            if is_main(node):
-                found = counts = in_article = True
-            if in_article and (node.tag == "header" or "header" in node.names):
+            if region is not None and region(node):
+                counts = True
+            in_main = in_main or is_main(node) or is_article(node)
+            if in_main and (node.tag == "header" or "header" in node.names):
                 heading_only = True
             elif node.tag in HEADINGS:
                 heading_only = False
@@ -233,14 +267,11 @@ def extract(page: str | None, host: str = "", templates=frozenset()) -> str:
             if node.tag in BLOCKS:
                 end()
                 todo.append(None)
-            todo.extend((c, counts, in_article, heading_only) for c in reversed(node.children))
+            todo.extend((c, counts, in_main, heading_only) for c in reversed(node.children))
         end()
-        return out, found
+        return out
 
-    out, found = blocks(True)
-    if not found:
-        out, _ = blocks(False)
-    return "\n\n".join(out)
+    return "\n\n".join(blocks(is_main) or blocks(is_article) or blocks(None))
 
 
 def host_of(url: str | None) -> str:
@@ -250,7 +281,7 @@ def host_of(url: str | None) -> str:
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         hosts, pages, keys = [], [], []
         for url, page in zip(b.column("url"), b.column("html"), strict=True):
             host, text = host_of(url.as_py()), page.as_py() or ""
@@ -260,15 +291,15 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hosts), pa.array(pages, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "page", "keys"])
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key): subtrees standing in at least ``min_pages`` different pages of a host and ``min_share`` of
-    them.  Pages of equal html count once, so copies of one page make no template of it."""
-    bounded_batches(pages.sparkSession)
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
+    """(host, key): subtrees standing in at least ``min_share`` of a host's different pages, where fewer than
+    ``min_pages`` are never enough and ``enough`` always are, however large the host.  Pages of equal html count
+    once, so copies of one page make no template of it."""
     rows = pages.select("url", "html").mapInArrow(_key_rows, "host string, page binary, keys array<bigint>")
     rows = durable(rows.where("host <> ''").groupBy("host", "page").agg(F.first("keys").alias("keys")))
     per_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counted.join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "key").distinct()
+    return counted.join(per_host, "host").where(F.col("n") >= F.least(F.col("pages") * min_share, F.lit(float(enough)))).select("host", "key").distinct()
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
@@ -286,7 +317,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
 
     def rows(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = []
             for i in range(b.num_rows):
                 url = b.column("url")[i].as_py()
@@ -312,7 +343,7 @@ def _by_join(pages: DataFrame, known: DataFrame, rows, schema: str) -> DataFrame
     hit = own.join(known, "key").groupBy("host", "page").agg(F.collect_set("key").alias("hit"))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             digests = [hashlib.blake2b((t.as_py() or "").encode("utf-8", "replace"), digest_size=16).digest() for t in b.column("html")]
             hosts = [host_of(u.as_py()) for u in b.column("url")]
             yield pa.record_batch([*b.columns, pa.array(hosts), pa.array(digests, pa.binary())], names=["page_id", "url", "html", "host", "page"])
