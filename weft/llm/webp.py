@@ -60,6 +60,10 @@ class BitReader:
         self.at += have
         return value, have
 
+    def look(self, at: int, n: int) -> int:
+        """The ``n`` bits from ``at``, which count as unread."""
+        return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         value = self.peek(n) if n else 0
         self.at += n
@@ -186,6 +190,24 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     return prefix_code(tuple(lengths))
 
 
+def read_codes(bits: BitReader, alphabets: Sequence[int]) -> list[PrefixCode]:
+    """The codes of a group.  A description that repeats the one before bit by bit is the same code."""
+    codes: list[PrefixCode] = []
+    start = n = before = 0
+    for k, alphabet in enumerate(alphabets):
+        if k and alphabet == alphabets[k - 1] and bits.look(bits.at, n) == before:
+            bits.read(0)
+            bits.at += n
+            codes.append(codes[-1])
+            continue
+        start = bits.at
+        codes.append(read_code(bits, alphabet))
+        n = bits.at - start
+        before = bits.look(start, n)
+    bits.read(0)
+    return codes
+
+
 # Decoding
 
 
@@ -223,6 +245,111 @@ def flat_pixels(bits: BitReader, codes: list[PrefixCode], n: int) -> np.ndarray
     return out
 
 
+def back_distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    dx, dy = near_offsets()[code - 1]
+    return max(1, dx + dy * width)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    out = np.full(len(keys), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+#: Bits that are looked at together, and how much further a token may reach that starts among them.
+STRETCH, BEYOND = 1 << 15, 128
+
+
+def tokens_at(raw: np.ndarray, codes: list[PrefixCode]) -> tuple[memoryview, np.ndarray]:
+    """(next, value) for every bit of a stretch, as if a token began there: where the next one begins (-1 for a
+    back-reference), and the pixel, or -1 - place for one from the colour cache."""
+    windows = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8, dtype=np.int64)).ravel()
+    seen: dict[int, np.ndarray] = {}
+    for c in codes[:4]:
+        if id(c) not in seen:
+            seen[id(c)] = np.array(c.table, np.int64)[windows & c.mask]
+    green, red, blue, alpha = (seen[id(c)] for c in codes[:4])
+    symbol = green >> 4
+    at = np.arange(len(windows)) + (green & 15)
+    step, value = at, symbol << 8
+    for entries, shift in ((red, 16), (blue, 0), (alpha, 24)):
+        e = entries.take(step, mode="clip")
+        value = value | e >> 4 << shift
+        step = step + (e & 15)
+    other = np.flatnonzero(symbol >= 256)
+    step[other] = np.where(symbol[other] < 280, -1, at[other])
+    value[other] = 279 - symbol[other]
+    return memoryview(step), value
+
+
+def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int, cache_bits: int, tally: Counter | None) -> np.ndarray:
+    """Pixels of an image with one group of codes.
+
+    In stretches of the stream, what a token would be is looked up at every bit at once; then a walk from token
+    to token picks the places where tokens start.  Back-references are read one by one.  Values come last: a
+    pixel is its own literal or the pixel it refers to, which for a cache code is the last one before it with
+    that place in the cache."""
+    values: list[np.ndarray] = []
+    copies: list[tuple[int, int, int]] = []
+    i = 0
+    while i < total:
+        first = bits.at >> 3
+        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (STRETCH + BEYOND) // 8), first).astype(np.int64)
+        last = first + len(raw) == len(bits.data)
+        step, value = tokens_at(raw, codes)
+        here, end = bits.at & 7, 8 * (len(raw) - 8) if last else STRETCH
+        places: list[int] = []
+        walk = places.append
+        while i < total and here <= end:
+            n = step[here]
+            if n >= 0:
+                walk(here)
+                here = n
+                i += 1
+                continue
+            bits.at = first * 8 + here
+            n = read_extra(bits, codes[0].read(bits) - 256)
+            d = back_distance(read_extra(bits, codes[4].read(bits)), width)
+            if d > i or i + n > total:
+                raise ValueError("a back-reference leaves the image")
+            copies.append((i, n, d))
+            i += n
+            here = bits.at - first * 8
+        values.append(value[places])
+        bits.at = first * 8 + here
+        bits.read(0)
+    refers, literal = np.arange(total), np.ones(total, bool)
+    for i, n, d in copies:
+        literal[i : i + n] = False
+        refers[i : i + n] = i - d + np.arange(n) % d
+    own = np.zeros(total, np.int64)
+    own[literal] = np.concatenate(values)
+    hits = own < 0
+    if cache_bits and hits.any():
+        slots = ((own.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        slots[hits] = -1 - own[hits]
+        for i, n, _ in copies:
+            slots[i : i + n] = slots[refers[i : i + n]]
+        before = _before(slots)
+        known = hits & (before >= 0)
+        refers[known] = before[known]
+        own[hits] = 0
+    if tally is not None:
+        tally["back-references"] += len(copies)
+        tally["colour cache"] += int(hits.sum())
+    while copies or hits.any():
+        further = refers[refers]
+        if (further == refers).all():
+            break
+        refers = further
+    return own[refers].astype(np.uint32)
+
+
 def read_image(bits: BitReader, width: int, height: int, main: bool, tally: Counter | None = None) -> np.ndarray:
     """An entropy-coded image as ARGB values in scan order; ``main`` may have an image of code groups."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -235,23 +362,22 @@ def read_image(bits: BitReader, width: int, height: int, main: bool, tally: Coun
         groups_of = ((read_image(bits, gw, gh, False) >> np.uint32(8)) & np.uint32(0xFFFF)).reshape(gh, gw).tolist()
         n_groups = max(map(max, groups_of)) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    groups = [[read_code(bits, s) for s in sizes] for _ in range(n_groups)]
+    groups = [read_codes(bits, sizes) for _ in range(n_groups)]
     total = width * height
     if tally is not None and main:
         tally["unequal code lengths"] += any(c.flat is None for g in groups for c in g)
-    if n_groups == 1 and not cache_bits and (done := flat_pixels(bits, groups[0], total)) is not None:
-        return done
+    if n_groups == 1:
+        if not cache_bits and (done := flat_pixels(bits, groups[0], total)) is not None:
+            return done
+        return one_group(bits, groups[0], width, total, cache_bits, tally)
     out: list[int] = []
     seen = [0] * (1 << cache_bits) if cache_bits else None
-    drop, near = 32 - cache_bits, near_offsets()
+    drop = 32 - cache_bits
     window = have = copies = hits = i = 0
     while i < total:
-        if groups_of is None:
-            codes, until = groups[0], total
-        else:
-            y, x = divmod(i, width)
-            codes = groups[groups_of[y >> group_bits][x >> group_bits]]
-            until = min(total, i + min(width - x, (1 << group_bits) - (x & (1 << group_bits) - 1)))
+        y, x = divmod(i, width)
+        codes = groups[groups_of[y >> group_bits][x >> group_bits]]
+        until = min(total, i + min(width - x, (1 << group_bits) - (x & (1 << group_bits) - 1)))
         (green, gm), (red, rm), (blue, bm), (alpha, am) = ((c.table, c.mask) for c in codes[:4])
         while i < until:
             if have < 60:  # the most that a pixel takes
@@ -287,13 +413,8 @@ def read_image(bits: BitReader, width: int, height: int, main: bool, tally: Coun
                 continue
             bits.at -= have
             n = read_extra(bits, s - 256)
-            d = read_extra(bits, codes[4].read(bits))
+            d = back_distance(read_extra(bits, codes[4].read(bits)), width)
             window, have = bits.ahead(64)
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = near[d - 1]
-                d = max(1, dx + dy * width)
             if d > i or i + n > total:
                 raise ValueError("a back-reference leaves the image")
             copied = out[i - d : i - d + n] if d >= n else (out[i - d :] * -(-n // d))[:n]
@@ -384,6 +505,8 @@ def add_argb(a: int, b: int) -> int:
 
 #: Modes that don't need the pixel to the left, or only that.
 QUICK_MODES = (0, 1, 2, 3, 4, 8, 9)
+#: Those that a stored image may have.
+TRIED_MODES = (0, 1, 2, 4, 8)
 
 
 def invert_predictor(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
@@ -437,13 +560,13 @@ def _by_block(x: np.ndarray, width: int, bits: int) -> np.ndarray:
 
 
 def fit_modes(p: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """The mode image: of the quick modes, the one of least residuals for each block."""
+    """The mode image: of TRIED_MODES, the one of least residuals for each block."""
     across, down = -(-width >> bits), -(-(len(p) // width) >> bits)
     costs = []
-    for m in QUICK_MODES:
+    for m in TRIED_MODES:
         r = residuals(p, width, np.full(across * down, m << 8, np.uint32), bits).view(np.uint8)
         costs.append(_by_block(np.minimum(r, -r).reshape(-1, 4).sum(axis=1, dtype=np.int64), width, bits))
-    best = np.array(QUICK_MODES, np.uint32)[np.argmin(costs, axis=0)]
+    best = np.array(TRIED_MODES, np.uint32)[np.argmin(costs, axis=0)]
     return np.uint32(OPAQUE_BLACK) | best << np.uint32(8)
 
 
@@ -636,19 +759,40 @@ def describe_code(lengths: np.ndarray) -> tuple[int, int]:
         if left:
             symbols += [n] * left
             extra += [0] * left
-    of_lengths = code_lengths(np.bincount(symbols, minlength=19), 7)
-    order = of_lengths[list(LENGTH_ORDER)].tolist()
+    value, at, code, width = length_code(int(lengths.max()) > 10)
+    for s, v in zip(symbols, extra, strict=True):
+        value |= (code[s] | v << width[s]) << at
+        at += width[s] + EXTRA_BITS[s]
+    return value, at
+
+
+@cache
+def length_code(long: bool) -> tuple[int, int, list[int], list[int]]:
+    """The code that lengths are written in, one for lengths up to 10 bits and one for all: (the bits that
+    describe it and start a code's description, their number, bits and width of each symbol)."""
+    lengths = np.full(19, 4, np.int64)
+    lengths[11:16] = 5 if long else 0
+    if long:
+        lengths[1] = 5
+    else:
+        lengths[[0, 17]] = 3
+    order = lengths[list(LENGTH_ORDER)].tolist()
     n = max(4, max(i for i, x in enumerate(order) if x) + 1)
     value, at = n - 4 << 1, 5
     for x in order[:n]:
         value |= x << at
         at += 3
-    at += 1
-    code, width = (c.tolist() for c in canonical(of_lengths))
-    for s, v in zip(symbols, extra, strict=True):
-        value |= (code[s] | v << width[s]) << at
-        at += width[s] + EXTRA_BITS[s]
-    return value, at
+    code, width = canonical(lengths)
+    return value, at + 1, code.tolist(), width.tolist()
+
+
+@lru_cache(maxsize=4096)
+def lone_code(alphabet: int, symbol: int) -> tuple[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """The description and table of a code of one symbol, or of none (-1)."""
+    lengths = np.zeros(alphabet, np.int64)
+    if symbol >= 0:
+        lengths[symbol] = 1
+    return describe_code(lengths), canonical(lengths)
 
 
 def to_prefix(value: int) -> tuple[int, int, int]:
@@ -667,15 +811,6 @@ def short_distances(width: int) -> dict[int, int]:
     return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(near_offsets())))}
 
 
-def _before(keys: np.ndarray) -> np.ndarray:
-    """For each place the last one before it with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1, np.int64)
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
 def find_copies(p: np.ndarray, longest: int = 4096) -> list[tuple[int, int, int]]:
     """(place, length, distance) of back-references of three pixels or more, greedily from the left; each goes
     to the last place with the same three pixels."""
@@ -739,8 +874,12 @@ def write_image(w: BitWriter, p: np.ndarray, width: int, main: bool, cache_bits:
     tables: list[tuple[np.ndarray, np.ndarray]] = []
     for k, c in enumerate(counts):
         if k not in (2, 3) or not shared:
-            lengths = code_lengths(c, longest)
-            described, table = describe_code(lengths), canonical(lengths)
+            used = np.flatnonzero(c)
+            if len(used) < 2:
+                described, table = lone_code(len(c), int(used[0]) if len(used) else -1)
+            else:
+                lengths = code_lengths(c, longest)
+                described, table = describe_code(lengths), canonical(lengths)
         w.write(*described)
         tables.append(table)
     (gc, gw), (rc, rw), (bc, bw), (ac, aw), (dc, dw) = tables
@@ -811,16 +950,18 @@ def encode(
     return wrap(w.bytes())
 
 
-#: Chains of transforms for payloads of more than 256 colours; the payload's checksum deals them out, so that
+#: Chains of transforms for payloads that a palette doesn't suit; the payload's checksum deals them out, so that
 #: every inverse transform has its share of stored rows.
 CHAINS = ((SUBTRACT_GREEN,), (PREDICTOR,), (PREDICTOR, CROSS_COLOR), (CROSS_COLOR, SUBTRACT_GREEN))
 
 
 def encode_payload(rows: np.ndarray) -> bytes:
     """(height, ROW) bytes as an image of four bytes to a pixel: with a palette if there are at most 256
-    colours, else with one of CHAINS and a colour cache; always with back-references and Huffman codes."""
+    colours and twice as many pixels, else with one of CHAINS and a colour cache; always with back-references and Huffman codes."""
     pixels = np.ascontiguousarray(rows).view("<u4").astype(np.uint32)
-    if len(np.unique(pixels)) <= 256:
+    order = np.sort(pixels, axis=None)
+    colors = 1 + int((order[1:] != order[:-1]).sum())
+    if colors <= min(256, pixels.size // 2):
         return encode(pixels, (COLOR_INDEXING,), lz=True, longest=CODE_BITS, shared=True)
     chain = CHAINS[zlib.crc32(rows) % len(CHAINS)]
     return encode(pixels, chain, CACHE_BITS, True, None, None, BLOCK_BITS, CODE_BITS, True)
