@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where neither the session nor the context names a checkpoint folder (tests, local runs).
+#: Used only by a local master, where neither the session nor the context names a checkpoint folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: Rows of one Arrow batch to a Python worker; texts are long, so far fewer than Spark's 10,000.
@@ -22,12 +23,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, else the context's checkpoint
+    folder.  Where neither is set a local master gets LOCAL_CHECKPOINTS; on a cluster that would scatter files
+    over the executors' disks, so it raises."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base:
+        return base
+    if sc.master == "local" or sc.master.startswith("local["):
+        return LOCAL_CHECKPOINTS
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def _until_exit(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared base, deleted when the driver ends in good order."""
+    folder = f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _until_exit(spark, folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read from there, so that lineage
-    ends here and a lost executor costs nothing that is already computed."""
+    ends here and a lost executor costs nothing that is already computed.  A checkpoint folder set here is
+    deleted when the driver ends; to drop checkpoints earlier, as soon as nothing refers to them, start the
+    session with spark.cleaner.referenceTracking.cleanCheckpoints."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        sc.setCheckpointDir(shared_base(df.sparkSession))
+        _until_exit(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
