@@ -51,10 +51,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weft.llm.urls import RULES, judge_urls, seed_urls, train_url_model
+    from weft.llm.urls import RULES, judge_urls, rule_labels, train_url_model
 
-    model = train_url_model(seed_urls(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = train_url_model(rule_labels(pages, RULES))
     return judge_urls(pages, model, RULES).select("_row.page_id", "host", "path", "rule", "verdict")
 
 

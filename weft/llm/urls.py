@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,7 +18,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 FEATURES = (
     "url_length", "path_depth", "digit_ratio", "host_entropy", "path_entropy", "n_params", "query_length",
-    "host_length", "host_labels", "host_hyphens", "host_digit_ratio", "suffix_rate", "suffix_count",
+    "host_length", "host_labels", "host_hyphens", "host_digit_ratio", "suffix_rate", "suffix_count", "segment_rate",
 )
 
 
@@ -64,31 +64,44 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def features(parts: DataFrame, suffixes: dict[str, tuple[float, float]]) -> DataFrame:
-    """``parts`` with a column _x: the array of FEATURES.  ``suffixes``: block rate and count of each
-    host suffix in the labelled sample (no more entries than its rows)."""
+def segment_of(path: Column) -> Column:
+    """The path's first segment."""
+    return F.substring_index(F.substring(path, 2, 1 << 30), "/", 1)
+
+
+def looked_up(key: Column, stats: dict[str, tuple[float, float]]) -> tuple[Column, Column]:
+    """(rate, count) of a key: a half and 0 where it isn't known."""
+    pairs = [F.lit(x) for k, (rate, n) in sorted(stats.items()) for x in (k, f"{rate}|{n}")]
+    known = F.create_map(*pairs)[key] if pairs else F.lit(None).cast("string")
+    both = F.split(F.coalesce(known, F.lit("0.5|0.0")), r"\|")
+    return both[0], both[1]
+
+
+def features(parts: DataFrame, suffixes: dict[str, tuple[float, float]], segments: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """``parts`` with a column _x: the array of FEATURES.  ``suffixes`` and ``segments``: block rate and count of
+    host suffixes and first path segments in the labelled sample."""
     url = F.coalesce(F.col("_url"), F.lit(""))
     host, path, query = F.col("_host"), F.col("_path"), F.col("_query")
     digits = lambda s: F.char_length(F.regexp_replace(s, "[^0-9]", "")) / F.greatest(F.char_length(s), F.lit(1))
     count = lambda s, c: F.char_length(s) - F.char_length(F.replace(s, F.lit(c), F.lit("")))
-    pairs = [F.lit(x) for k, (rate, n) in sorted(suffixes.items()) for x in (k, f"{rate}|{n}")]
-    known = F.create_map(*pairs)[suffix_of(host)] if pairs else F.lit(None).cast("string")
-    stats = F.split(F.coalesce(known, F.lit("0.5|0.0")), r"\|")
     x = [
         F.char_length(url), count(path, "/"), digits(url), entropy(host), entropy(path),
         F.when(query != "", count(query, "&") + 1).otherwise(0), F.char_length(query),
-        F.char_length(host), count(host, ".") + 1, count(host, "-"), digits(host), stats[0], stats[1],
+        F.char_length(host), count(host, ".") + 1, count(host, "-"), digits(host), *looked_up(suffix_of(host), suffixes),
+        looked_up(segment_of(path), segments or {})[0],
     ]
     return parts.withColumn("_x", F.array(*[c.cast("double") for c in x]))
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Boosted trees as (feature, threshold, left, right) tuples with float leaves, and the suffix table."""
+    """Boosted trees as (feature, threshold, left, right) tuples with float leaves, and the tables of suffixes
+    and first segments."""
 
     base: float
     trees: tuple
     suffixes: dict[str, tuple[float, float]]
+    segments: dict[str, tuple[float, float]]
 
     def score(self) -> Column:
         """Log-odds of "block" over the column _x."""
@@ -150,54 +163,56 @@ def grow_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 24, depth: int = 3,
     return base, tuple(trees)
 
 
-def train_url_model(labelled: DataFrame, max_rows: int = 8000, **trees) -> UrlModel:
-    """A model from (url, label), label 1 for "block".  At most ``max_rows`` labelled rows are used, those
-    of smallest md5(url); null labels are skipped.  Without rows every url scores 0."""
-    rows = labelled.where("label is not null").select(F.col("url"), F.col("label").cast("double").alias("label"))
-    rows = rows.orderBy(F.md5(F.coalesce(F.col("url"), F.lit("")).cast("binary")), "url", "label").limit(max_rows)
-    parts = with_parts(rows)
-    got = features(parts, {}).select(F.col("_x"), F.col("_row.label").alias("y"), suffix_of(F.col("_host")).alias("s")).collect()
+#: Labelled urls that train a model at most.
+TRAIN_URLS = 8000
+#: Rows of the mean label that block rates are smoothed with, and rows that a suffix or segment must have.
+SMOOTHING, LEAST_SEEN = 20, 5
+
+
+def sample_labelled(labelled: DataFrame, max_rows: int = TRAIN_URLS) -> DataFrame:
+    """At most ``max_rows`` different urls of (url, label), the same in every run: those of least md5(url).  A url
+    of several labels has the mean.  All rows are counted; only those whose hash is in a range that holds about
+    four times ``max_rows`` rows are grouped, so a large table isn't shuffled.  Null labels are skipped."""
+    rows = labelled.where("label is not null").select(F.coalesce("url", F.lit("")).alias("url"), F.col("label").cast("double").alias("label"))
+    rows = rows.withColumn("h", F.md5(F.col("url").cast("binary")))
+    share = min(1.0, 4.0 * max_rows / max(rows.count(), 1))
+    near = rows.where(F.col("h") <= f"{int(share * 0xFFFFFFFF):08x}" + "g")
+    return near.groupBy("h", "url").agg(F.avg("label").alias("label")).orderBy("h", "url").limit(max_rows).select("url", "label")
+
+
+def train_url_model(labelled: DataFrame, max_rows: int = TRAIN_URLS, **trees) -> UrlModel:
+    """A model from (url, label), label 1 for "block", on sample_labelled's rows.  Without rows every url
+    scores 0.  Block rates of suffixes and first segments count the other rows only, so that no row sees its own
+    label in them; those of fewer than LEAST_SEEN rows aren't known."""
+    parts = with_parts(sample_labelled(labelled, max_rows))
+    keys = [suffix_of(F.col("_host")).alias("suffix"), segment_of(F.col("_path")).alias("segment")]
+    got = features(parts, {}).select(F.col("_x"), F.col("_row.label").alias("y"), *keys).collect()
     if not got:
-        return UrlModel(0.0, (), {})
-    tally: dict[str, list[float]] = {}
-    for r in got:
-        t = tally.setdefault(r["s"], [0.0, 0.0])
-        t[0] += r["y"]
-        t[1] += 1
-    prior = sum(r["y"] for r in got) / len(got)
-    suffixes = {s: (round((b + 20 * prior) / (n + 20), 6), float(n)) for s, (b, n) in tally.items()}
-    x = np.array([[*r["_x"][:-2], *suffixes[r["s"]]] for r in got])
-    base, grown = grow_trees(x, np.array([r["y"] for r in got]), **trees)
-    return UrlModel(base, grown, suffixes)
-
-
-#: Word lists of the seed urls: fixed values.
-HAM_WORDS = ["river", "museum", "garden", "stone", "paper", "north", "harbor", "school", "music", "travel", "kitchen", "science", "history", "local", "daily", "market", "forest", "letter", "village", "open"]
-SPAM_WORDS = ["cheap", "pills", "spam", "farm", "casino", "bonus", "loan", "free", "win", "prize", "deal", "xxx", "replica", "crypto", "click", "cash", "slots", "diet", "hot", "offer"]
-SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "st", "ti", "le", "ou", "mi", "ka"]
-SUBDOMAINS = ["", "", "www.", "m.", "blog.", "news."]
-DOMAINS = ["example.com", "example.org", "example.net", "example.edu", "example.info"]
-LANGUAGES = ["en", "de", "fr", "es"]
-ENDINGS = ["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"]
-
-
-def seed_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """``n`` labelled urls (url, label) made by rule from the word lists above: pages of plain hosts, and
-    advertising hosts of hyphenated words, some with digits, deep paths and tracking parameters."""
-    pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
-    chance = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0
-    number = F.floor(F.pow(F.lit(10.0), 0.5 + 6.5 * chance("size"))).cast("bigint").cast("string")
-    site = F.concat(pick(SUBDOMAINS, "sub"), F.col("name"), F.lit("."), pick(DOMAINS, "dom"))
-    ham = F.concat(pick(HAM_WORDS, "a"), F.when(chance("two") < 0.7, pick(HAM_WORDS, "b")).otherwise(""), F.when(chance("hy") < 0.02, "-net").otherwise(""))
-    made = F.concat(*[pick(SYLLABLES, k) for k in "cdef"], F.when(chance("more") < 0.5, F.concat(pick(SYLLABLES, "g"), pick(SYLLABLES, "h"))).otherwise(""))
-    ham = F.when(chance("made") < 0.6, made).otherwise(ham)
-    spam = F.concat(pick(SPAM_WORDS, "a"), F.when(chance("hy") < 0.97, "-").otherwise(""), pick(SPAM_WORDS, "b"), F.when(chance("dig") < 0.3, F.concat(F.lit("-"), number)).otherwise(""))
-    plain = F.concat(F.lit("/"), pick(LANGUAGES, "lang"), F.lit("/"), number, pick(ENDINGS, "end"))
-    deep = F.concat(plain, F.lit("/"), number, F.lit("/go/"), number, F.lit("?id="), number, F.lit("&aff="), number, F.lit("&sid="), number, F.lit("&t="), number)
-    rows = spark.range(n).withColumn("label", F.when(chance("label") < 0.4, 1).otherwise(0))
-    rows = rows.withColumn("name", F.when(F.col("label") == 1, spam).otherwise(ham))
-    path = F.when((F.col("label") == 1) & (chance("deep") < 0.3), deep).otherwise(plain)
-    return rows.select(F.concat(F.when(chance("s") < 0.5, "http://").otherwise("https://"), site, path).alias("url"), "label")
+        return UrlModel(0.0, (), {}, {})
+    y = np.array([r["y"] for r in got])
+    prior = float(y.mean())
+    rate = lambda b, n: round((b + SMOOTHING * prior) / (n + SMOOTHING), 6)
+    tables, seen = [], []
+    for column in ("suffix", "segment"):
+        tally: dict[str, list[float]] = {}
+        for r in got:
+            t = tally.setdefault(r[column], [0.0, 0.0])
+            t[0] += r["y"]
+            t[1] += 1
+        tables.append({k: (rate(b, n), n) for k, (b, n) in tally.items() if n >= LEAST_SEEN})
+        known = [tally[r[column]] if tally[r[column]][1] >= LEAST_SEEN else None for r in got]
+        seen.append([(0.5, 0.0) if t is None else (rate(t[0] - r["y"], t[1] - 1), t[1]) for r, t in zip(got, known, strict=True)])
+    x = np.array([[*r["_x"][:-3], *a, b[0]] for r, a, b in zip(got, *seen, strict=True)])
+    base, grown = grow_trees(x, y, **trees)
+    return UrlModel(base, grown, *tables)
+
+
+def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
+    """(url, label) of the urls that a rule fits: 1 for block, 0 for allow.  Repeated urls repeat; null urls fit
+    no rule."""
+    parts = with_parts(pages.select(url_col), url_col)
+    verdict = matched_rule(F.col("_host"), F.col("_path"), rules)[1]
+    return parts.select(F.col("_url").alias("url"), F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label")).where("label is not null")
 
 
 def judge_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
@@ -208,7 +223,7 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str
     judged by the model.  Empty input: empty output.  ``rules`` become expressions: meant for lists of
     hundreds, not for host lists of millions.
     """
-    parts = features(with_parts(pages, url_col), model.suffixes)
+    parts = features(with_parts(pages, url_col), model.suffixes, model.segments)
     rule, verdict = matched_rule(F.col("_host"), F.col("_path"), rules)
     scored = parts.select("_row", "_host", "_path", rule.alias("rule"), verdict.alias("_verdict"), model.score().alias("score"))
     return scored.select("_row", F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", "score", F.coalesce("_verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
