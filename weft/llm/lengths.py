@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.bpe import codec, default_path
-from weft.session import bounded_batches
+from weft.session import durable, slices
 
 #: Lengths of one block of the sums.
 BLOCK = 4096
 
 
 def encoded_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) of every whole text; 0 for a null or empty one.  Rows keep their number."""
-    bounded_batches(docs.sparkSession)
+    """(id, n_tokens) of every whole text; 0 for a null or empty one.  Rows keep their number, repeated ones too;
+    an empty table gives none; other columns are ignored."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.record_batch([b.column(0), pa.array([len(c.encode(t.as_py())) for t in b.column(1)], pa.int64())], names=[id_col, "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -36,10 +36,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     docs_upto counts documents of this length or less, docs_from and tokens_from those of this length or
     more; truncated_total is what is left of all tokens if every document is cut to this length, lost_tokens
     the rest.  Sums run inside blocks of BLOCK lengths and over the blocks' totals, so no task holds more than
-    BLOCK rows or one row a block.  Null lengths count as 0; an empty table has no rows.
+    BLOCK rows or one row a block.  Null lengths count as 0; an empty table has no rows.  The counts, a row for
+    each length, are written before they are used twice, so texts are encoded once.
     """
     hist = lengths.groupBy(F.coalesce("n_tokens", F.lit(0)).alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
-    hist = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    hist = durable(hist).withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     blocks = blocks.select(
