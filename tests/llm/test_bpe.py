@@ -38,3 +38,24 @@ def test_rows(spark, odd_docs, no_docs):
     want = [library.encode(r["text"] or "", add_special_tokens=False).ids for r in odd_docs.select("text").collect()]
     assert sorted(list(r["ids"]) for r in got) == sorted(want)
     assert encode_documents(no_docs, decoded=True).count() == 0
+
+
+def test_long_texts_go_through_the_tree(spark):
+    """Whole documents of the fixture, and cuts at every kind of place."""
+    import weft.llm.bpe as bpe
+
+    library, c = Tokenizer.from_file(default_path()), codec(default_path())
+    long = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("octet_length(text) > 8192").collect()]
+    before = c.windows
+    for t in long:
+        assert c.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(long) > 20 and c.windows > len(long)
+    before, kept = c.windows, bpe.LONG_TEXT
+    texts = ODD + [" ".join(ODD), "a b " * 50, "\n\n".join(ODD[:12]) * 3, "x" * 500 + " " + "é日" * 300]
+    try:
+        for bpe.LONG_TEXT in (2, 6, 20, 100):
+            for t in texts:
+                assert c.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, (bpe.LONG_TEXT, t[:60])
+    finally:
+        bpe.LONG_TEXT = kept
+    assert c.windows > before + 1000

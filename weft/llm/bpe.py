@@ -12,10 +12,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from weft.session import bounded_batches
+from weft.session import slices
 
 #: Pre-tokens of more symbols than this are encoded as a tree; leaves have at most this many.
 LEAF = 48
+#: Texts of more bytes than this are cut into halves down to pieces of at most half of it, wherever that falls.
+LONG_TEXT = 8192
 #: Words whose encoding a worker keeps; the table is emptied when it is full.
 KEEP_WORDS = 400_000
 #: Words of these characters need no normalising but lower case: no white space, no marks, stable classes.
@@ -97,6 +99,8 @@ class Codec:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
         self.known: dict[bytes, bytes] = {}
+        #: Windows encoded at joins so far.
+        self.windows = 0
 
     def length(self, token: int) -> int:
         text = self.tokens[token]
@@ -134,11 +138,11 @@ class Codec:
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         return [i for p in pieces for i in self.pretoken(p)]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text (none for null).  ASCII white space always splits, so each distinct word
-        is encoded once and looked up afterwards."""
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of an int32 array.  ASCII white space always splits, so each
+        distinct word is encoded once and looked up afterwards."""
         known, out = self.known, []
-        for w in (text or "").encode("utf-8").split():
+        for w in words:
             ids = known.get(w)
             if ids is None:
                 ids = np.array(self.word(w), np.int32).tobytes()
@@ -147,7 +151,48 @@ class Codec:
                 if len(w) <= 64:
                     known[w] = ids
             out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return out
+
+    def concat(self, data: bytes) -> list[bytes]:
+        """The ids of a long text by tree concatenation.
+
+        The text is cut into halves down to pieces of at most LONG_TEXT / 2 bytes, at any character; pieces are
+        encoded on their own and joined upwards.  Where a cut parts a word, the last k words on the left and the
+        first k on the right are encoded anew as one window of the text, k doubling, until the window's first word
+        has the ids that the left side has there and its last word those that the right side has there.  Words
+        don't depend on each other, so what lies outside such a window stands."""
+        pieces = 1
+        while len(data) > LONG_TEXT // 2 * pieces:
+            pieces *= 2
+        cuts = [len(data) * i // pieces for i in range(pieces + 1)]
+        for i in range(1, pieces):
+            while cuts[i] < len(data) and data[cuts[i]] & 0xC0 == 0x80:
+                cuts[i] += 1
+        split = [data[a:b].split() for a, b in zip(cuts, cuts[1:], strict=False)]
+        level = [(w, self.words(w), m) for w, m in zip(split, cuts[1:], strict=True)]
+        while len(level) > 1:
+            above = []
+            for (lw, li, m), (rw, ri, end) in zip(level[::2], level[1::2], strict=True):
+                k = 1
+                while lw and rw and m < len(data) and not data[m - 1 : m].isspace() and not data[m : m + 1].isspace():
+                    lk, rk = min(k, len(lw)), min(k, len(rw))
+                    window = [*lw[-lk:-1], lw[-1] + rw[0], *rw[1:rk]]
+                    ids = self.words(window)
+                    self.windows += 1
+                    left_agrees = lk == len(lw) or ids[0] == li[-lk]
+                    right_agrees = rk == len(rw) or ids[-1] == ri[rk - 1]
+                    if left_agrees and right_agrees:
+                        lw, li, rw, ri = lw[:-lk] + window, li[:-lk] + ids, rw[rk:], ri[rk:]
+                        break
+                    k *= 2
+                above.append((lw + rw, li + ri, end))
+            level = above
+        return level[0][1]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text (none for null); long texts go through ``concat``."""
+        data = (text or "").encode("utf-8")
+        return np.frombuffer(b"".join(self.concat(data) if len(data) > LONG_TEXT else self.words(data.split())), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes without a decoder: tokens joined by a space."""
@@ -166,12 +211,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     One pass, no shuffle; rows keep their number, so repeated rows repeat.  Null and empty texts have no ids
     and decode to an empty text.  Texts of any length: memory grows with the longest text of a batch.
     """
-    bounded_batches(docs.sparkSession)
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [c.encode(t.as_py()) for t in b.column(1)]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
