@@ -54,3 +54,49 @@ def test_files_from_disk(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip_stream([record(i) for i in range(5)]))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert read_archives(normalise_archives(files)).count() == 5
+
+
+def test_files_lie_beside_their_sidecars(spark, tmp_path):
+    import json
+
+    rows = [(i, f"http://h/{i}", f"<p>page {i}</p>" * (i % 7)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    archives = write_archives(df, archive_bytes=4096, folder=str(tmp_path / "out")).collect()
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert len(archives) > 3 and names == sorted(n for a in archives for n in (a["archive"].split("/")[-1], a["archive"].split("/")[-1] + ".idx"))
+    seen = 0
+    for a in archives:
+        data = open(a["archive"], "rb").read()
+        lines = [json.loads(x) for x in open(a["archive"] + ".idx", encoding="utf-8")]
+        assert (len(lines), len(data)) == (a["records"], a["bytes"])
+        for e in lines:
+            head, _, payload = read_member(data, e["offset"], e["length"])
+            page = int(e["record_id"].removeprefix("<urn:page:").removesuffix(">"))
+            assert payload.decode() == rows[page][2] and head["warc-target-uri"] == e["uri"] == rows[page][1]
+            seen += 1
+    assert seen == 200
+
+
+def test_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://a/1", "<p>x</p>"), (1, "http://a/1", "<p>x</p>"), (2, "http://ä/\u2028", "é" * 300_000), (None, None, None), (3, "", ""), (4, "u", "long " * 400), (4, "u", "long " * 400)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df = df.select("*", *[F.lit("clash").alias(c) for c in ("digest", "refers_to", "n", "archive", "records", "bytes", "_page", "offset")])
+    got = read_archives(write_archives(df), tasks=3).collect()
+    assert sorted((r["page_id"] or -1, r["payload_bytes"], r["record_type"]) for r in got) == sorted((i or -1, len((h or "").encode()), "response") for i, _, h in rows)
+    assert {r["url"] for r in got} == {"http://a/1", "http://ä/\u2028", None, "", "u"}
+
+
+def test_streamed_in_pieces(spark, tmp_path, monkeypatch):
+    """A file larger than what is read at once, by path and by content."""
+    import os
+
+    blocks = [os.urandom(200_000) for _ in range(30)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip_stream([record(i, b) for i, b in enumerate(blocks)]))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    want = sorted((i, hashlib.sha1(b).hexdigest()) for i, b in enumerate(blocks))
+    for stream in (True, False):
+        got = read_archives(normalise_archives(files, str(tmp_path / f"out{stream}"), stream)).collect()
+        assert sorted((r["page_id"], r["payload_digest"]) for r in got) == want
+    assert normalise_archives(files.limit(0)).count() == 0
