@@ -7,7 +7,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ MAX_SIDE = 16384
 ROW = 576
 PAYLOAD_ROWS = 1024
 #: What stored images are written with: log2 of a block's side, log2 of the colour cache, longest code.
-BLOCK_BITS, CACHE_BITS, CODE_BITS = 7, 6, 10
+BLOCK_BITS, CACHE_BITS, CODE_BITS = 8, 6, 10
 
 
 @cache
@@ -79,10 +79,11 @@ class BitWriter:
 
     def write_many(self, values: np.ndarray, widths: np.ndarray) -> None:
         """Each value in its number of bits, in order."""
-        for at in range(0, len(values), 1 << 16):
-            v, w = values[at : at + (1 << 16)], widths[at : at + (1 << 16)]
-            ends = np.cumsum(w)
-            place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - w, w)
+        values, widths = values.astype(np.int32), widths.astype(np.int32)
+        for at in range(0, len(values), 1 << 12):
+            v, w = values[at : at + (1 << 12)], widths[at : at + (1 << 12)]
+            ends = np.cumsum(w, dtype=np.int32)
+            place = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends - w, w)
             bits = (np.repeat(v, w) >> place & 1).astype(np.uint8)
             self.write(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
 
@@ -117,14 +118,15 @@ def reversed_bits(n: int) -> np.ndarray:
 
 class PrefixCode:
     """A canonical code from its lengths.  ``flat`` is the length that all symbols share (0 for a single
-    symbol), or None.  ``table`` has symbol * 16 + length for every value of the next ``longest`` bits."""
+    symbol), or None.  ``entries`` has symbol * 16 + length for every value of the next ``longest`` bits, and
+    ``table`` the same as a list."""
 
     def __init__(self, lengths: Sequence[int]):
         n = np.array(lengths, np.uint8)
         used = np.flatnonzero(n)
         if len(used) < 2:
             self.symbols = used.tolist() or [0]
-            self.flat, self.longest, self.mask, self.table = 0, 0, 0, [self.symbols[0] << 4]
+            self.flat, self.longest, self.mask, self.entries = 0, 0, 0, np.array([self.symbols[0] << 4], np.int64)
             return
         order = used[np.argsort(n[used], kind="stable")]
         n = n[order].astype(np.int64)
@@ -134,7 +136,11 @@ class PrefixCode:
         self.longest = int(n[-1])
         self.mask = (1 << self.longest) - 1
         self.flat = self.longest if n[0] == n[-1] else None
-        self.table = np.repeat(order << 4 | n, 1 << (self.longest - n))[reversed_bits(self.longest)].tolist()
+        self.entries = np.repeat(order << 4 | n, 1 << (self.longest - n))[reversed_bits(self.longest)]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, bits: BitReader) -> int:
         entry = self.table[bits.peek(self.longest)]
@@ -262,29 +268,39 @@ def _before(keys: np.ndarray) -> np.ndarray:
 
 
 #: Bits that are looked at together, and how much further a token may reach that starts among them.
-STRETCH, BEYOND = 1 << 15, 128
-
-
-def tokens_at(raw: np.ndarray, codes: list[PrefixCode]) -> tuple[memoryview, np.ndarray]:
-    """(next, value) for every bit of a stretch, as if a token began there: where the next one begins (-1 for a
-    back-reference), and the pixel, or -1 - place for one from the colour cache."""
-    windows = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8, dtype=np.int64)).ravel()
-    seen: dict[int, np.ndarray] = {}
-    for c in codes[:4]:
-        if id(c) not in seen:
-            seen[id(c)] = np.array(c.table, np.int64)[windows & c.mask]
-    green, red, blue, alpha = (seen[id(c)] for c in codes[:4])
-    symbol = green >> 4
-    at = np.arange(len(windows)) + (green & 15)
-    step, value = at, symbol << 8
-    for entries, shift in ((red, 16), (blue, 0), (alpha, 24)):
-        e = entries.take(step, mode="clip")
-        value = value | e >> 4 << shift
-        step = step + (e & 15)
-    other = np.flatnonzero(symbol >= 256)
-    step[other] = np.where(symbol[other] < 280, -1, at[other])
-    value[other] = 279 - symbol[other]
-    return memoryview(step), value
+STRETCH, BEYOND = 1 << 14, 128
+
+
+class Stretch:
+    """A stretch of the stream, looked up as if a token began at every bit of it.
+
+    ``step`` says where the next token begins, or -1 for a back-reference."""
+
+    def __init__(self, raw: np.ndarray, codes: list[PrefixCode]):
+        windows = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8, dtype=np.int64)).ravel()
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for c in codes[:4]:
+            if id(c) not in seen:
+                entries = c.entries[windows & c.mask]
+                seen[id(c)] = entries, entries & 15
+        self.looked = [seen[id(c)] for c in codes[:4]]
+        green, width = self.looked[0]
+        self.at = [np.arange(len(windows)) + width]
+        for _, width in self.looked[1:]:
+            self.at.append(self.at[-1] + width.take(self.at[-1], mode="clip"))
+        self.other = np.flatnonzero(green >= 256 << 4)
+        step = self.at[-1].copy()
+        step[self.other] = np.where(green[self.other] < 280 << 4, -1, self.at[0][self.other])
+        self.step = memoryview(step)
+
+    def values(self, places: list[int]) -> np.ndarray:
+        """Of the tokens that begin at ``places``: the pixel, or -1 - place for one from the colour cache."""
+        k = np.array(places, np.int64)
+        symbol = self.looked[0][0][k] >> 4
+        value = symbol << 8
+        for at, (entries, _), shift in zip(self.at, self.looked[1:], (16, 0, 24), strict=False):
+            value |= entries.take(at[k], mode="clip") >> 4 << shift
+        return np.where(symbol < 256, value, 279 - symbol) if len(self.other) else value
 
 
 def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int, cache_bits: int, tally: Counter | None) -> np.ndarray:
@@ -301,7 +317,8 @@ def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int,
         first = bits.at >> 3
         raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (STRETCH + BEYOND) // 8), first).astype(np.int64)
         last = first + len(raw) == len(bits.data)
-        step, value = tokens_at(raw, codes)
+        stretch = Stretch(raw, codes)
+        step = stretch.step
         here, end = bits.at & 7, 8 * (len(raw) - 8) if last else STRETCH
         places: list[int] = []
         walk = places.append
@@ -320,7 +337,7 @@ def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int,
             copies.append((i, n, d))
             i += n
             here = bits.at - first * 8
-        values.append(value[places])
+        values.append(stretch.values(places))
         bits.at = first * 8 + here
         bits.read(0)
     refers, literal = np.arange(total), np.ones(total, bool)
@@ -506,7 +523,7 @@ def add_argb(a: int, b: int) -> int:
 #: Modes that don't need the pixel to the left, or only that.
 QUICK_MODES = (0, 1, 2, 3, 4, 8, 9)
 #: Those that a stored image may have.
-TRIED_MODES = (0, 1, 2, 4, 8)
+TRIED_MODES = (0, 1, 2, 8)
 
 
 def invert_predictor(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
@@ -555,6 +572,8 @@ def residuals(p: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.nda
 def _by_block(x: np.ndarray, width: int, bits: int) -> np.ndarray:
     """Sums of a value per pixel over blocks."""
     height = len(x) // width
+    if max(width, height) <= 1 << bits:
+        return x.sum(keepdims=True, dtype=np.int64)
     rows = np.add.reduceat(x.reshape(height, width), np.arange(0, height, 1 << bits), axis=0)
     return np.add.reduceat(rows, np.arange(0, width, 1 << bits), axis=1).ravel()
 
@@ -565,7 +584,8 @@ def fit_modes(p: np.ndarray, width: int, bits: int) -> np.ndarray:
     costs = []
     for m in TRIED_MODES:
         r = residuals(p, width, np.full(across * down, m << 8, np.uint32), bits).view(np.uint8)
-        costs.append(_by_block(np.minimum(r, -r).reshape(-1, 4).sum(axis=1, dtype=np.int64), width, bits))
+        r = np.minimum(r, -r)
+        costs.append(r.sum(keepdims=True, dtype=np.int64) if across * down == 1 else _by_block(r.reshape(-1, 4).sum(axis=1, dtype=np.int64), width, bits))
     best = np.array(TRIED_MODES, np.uint32)[np.argmin(costs, axis=0)]
     return np.uint32(OPAQUE_BLACK) | best << np.uint32(8)
 
@@ -574,7 +594,7 @@ def fit_factors(p: np.ndarray, width: int, bits: int) -> np.ndarray:
     """The cross-colour image: per block the slopes of red on green, of blue on green, and of what is left of
     blue on red."""
     green, red, blue = (_signed(p >> np.uint32(s) & np.uint32(255)) for s in (8, 16, 0))
-    sums = lambda a, b: _by_block((a * b).astype(np.int64), width, bits)
+    sums = lambda a, b: _by_block(a * b, width, bits).astype(np.int64)
     slope = lambda top, bottom: np.clip(np.rint(32 * top / np.maximum(bottom, 1)), -128, 127).astype(np.int64)
     gg = sums(green, green)
     on_red, on_blue = slope(sums(red, green), gg), slope(sums(blue, green), gg)
@@ -836,6 +856,12 @@ def write_image(w: BitWriter, p: np.ndarray, width: int, main: bool, cache_bits:
     """An entropy-coded image with Huffman codes of its own, with back-references (``lz``) and a cache; with
     ``shared`` red, blue and alpha have the same code."""
     p = np.ascontiguousarray(p, np.uint32)
+    if not main and not cache_bits and (len(p) == 1 or (p == p[0]).all()):
+        w.write(0, 1)
+        a, r, g, b = _bytes(int(p[0]))
+        for alphabet, symbol in ((280, g), (256, r), (256, b), (256, a), (40, -1)):
+            w.write(*lone_code(alphabet, symbol)[0])
+        return
     copies = find_copies(p) if lz else []
     literal = np.ones(len(p), bool)
     for i, n, _ in copies:
@@ -975,6 +1001,10 @@ def to_payload(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % ROW if data else ROW)
 
 
+#: Payloads up to this many bytes are remembered, the last KEPT of a worker: copies are encoded and read once.
+SMALL, KEPT = 16 << 10, 256
+
+
 def store(payload: bytes) -> bytes:
     """A payload as one image, or several after each other where one has no room."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
@@ -1000,6 +1030,22 @@ def feature(samples: np.ndarray) -> str:
     return f"{mean:.4f}:{max(0.0, square - mean * mean) ** 0.5:.4f}:{np.packbits(bright).tobytes().hex()}"
 
 
+@lru_cache(maxsize=KEPT)
+def _store_small(payload: bytes) -> bytes:
+    return store(payload)
+
+
+def _read(media: bytes) -> tuple:
+    samples = load(media)
+    payload = samples.tobytes()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+
+
+@lru_cache(maxsize=KEPT)
+def _read_small(media: bytes) -> tuple:
+    return _read(media)
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every whole text in UTF-8 as lossless WebP.  Null counts as empty: a payload
     of ROW padding bytes.  Equal texts give equal media; rows keep their number."""
@@ -1007,7 +1053,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             data = [(t.as_py() or "").encode("utf-8") for t in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(map(len, data), pa.int64()), pa.array([store(to_payload(d)) for d in data], pa.binary())], names=[id_col, "n_bytes", "media"])
+            media = [(_store_small if len(d) <= SMALL else store)(to_payload(d)) for d in data]
+            yield pa.record_batch([b.column(0), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
@@ -1022,12 +1069,7 @@ def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in slices(batches):
-            out = []
-            for m in b.column(2):
-                media = m.as_py()
-                samples = load(media)
-                payload = samples.tobytes()
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+            out = [(_read_small if len(m) <= SMALL else _read)(m) for m in b.column(2).to_pylist()]
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.record_batch([b.column(0), b.column(1), *cols], names=[id_col, "n_bytes", *names])
 
