@@ -112,3 +112,39 @@ def test_bounds_follow_the_percentage():
         assert (1 - (percent / 100) ** rows) ** (HASHES // rows) <= 1e-6
         assert least_estimate(percent, HASHES) < least_estimate(percent, WIDE) < percent / 100 - 0.04
     assert (band_rows(85), band_rows(80)) == (5, 4)
+
+
+def test_small_parts_same_as_all_pairs(spark, monkeypatch):
+    """Buckets and leaders cut into parts of three."""
+    import weft.llm.minhash as m
+
+    monkeypatch.setattr(m, "MEETING_ROWS", 3)
+    rows = corpus(90, 2) + [(7000 + i, t) for i, t in between(12, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, near_duplicates(df, percent=80).collect())) == brute(rows, 80)
+
+
+def test_one_large_bucket(spark, monkeypatch):
+    """1,600 texts that differ in one word from one of two texts, which are nearly alike but not linked."""
+    import weft.llm.minhash as m
+
+    monkeypatch.setattr(m, "MEETING_ROWS", 200)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    one = [word() for _ in range(100)]
+    two = list(one)
+    for k in (10, 40, 70):
+        two[k] = word()
+    rows = [(0, " ".join(one)), (1, " ".join(two))]
+    for i in range(2, 1602):
+        w = list(one if i % 2 == 0 else two)
+        w[4 + 5 * (i // 2 % 19)] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    assert not (100 * len(shingles(rows[0][1]) & shingles(rows[1][1])) >= 85 * len(shingles(rows[0][1]) | shingles(rows[1][1])))
+    got = near_duplicates(df).collect()
+    assert len(got) == 1602
+    crossing = {x["component_id"] for x in got}
+    # Every text is linked with the one it was made from; the two groups meet only if some pair across links.
+    by = {x["doc_id"]: x["component_id"] for x in got}
+    assert all(by[i] == by[i % 2] for i in range(2, 1602)) and crossing <= {0, 1}

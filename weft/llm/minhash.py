@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.graph import connected_components
-from weft.session import bounded_batches, broadcast_if_few, durable
+from weft.session import broadcast_if_few, durable, slices
 
 #: Words of a shingle.
 WIDTH = 5
@@ -27,6 +27,8 @@ LONGS = HASHES * BITS // 64
 ERRORS = 6.5
 #: Ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of a bucket's side, and pairs of a leader, that meet in one task: larger ones are cut by hash.
+MEETING_ROWS = 4096
 #: Minima of the wide signature of documents in buckets of several components.
 WIDE = 2048
 #: Word hashes that a worker keeps.
@@ -118,10 +120,9 @@ def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, set_key, s0.., bands) per row; set_key is a 128-bit digest of the set, null with
     the bands where it is empty."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             size, key, sig, bands = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py())
@@ -149,7 +150,7 @@ def wide_signatures(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str)
     names = [f"w{i}" for i in range(WIDE // 32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sig = [packed(minima(s, _WA, _WB)) if len(s := shingle_set(t.as_py())) else np.zeros(WIDE // 32, np.uint64) for t in b.column(1)]
             sig = np.array(sig, np.uint64).reshape(-1, WIDE // 32).view(np.int64)
             yield pa.record_batch([b.column(0), *[pa.array(sig[:, i]) for i in range(WIDE // 32)]], names=["rep", *names])
@@ -183,21 +184,27 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
-    Sets are made anew from the texts of the documents in pairs; each travels once to each of its pairs.
+    Sets are made anew from the texts of the documents in pairs.  The pairs of a document with many are cut by
+    hash, and its set goes to each part once.
     """
+    pairs = durable(pairs)
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     texts = texts_of(docs, ids, id_col, text_col)
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.record_batch([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["_id", "_set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     sets = durable(texts.mapInArrow(to_set, f"_id {kind}, _set binary").dropDuplicates(["_id"]))
-    both = pairs.join(sets.toDF("b", "_set_b"), "b").join(sets.toDF("a", "_set_a"), "a")
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING_ROWS).alias("_parts")).where("_parts > 1")
+    many = broadcast_if_few(many)
+    cut = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("long").alias("_part"))
+    spread = sets.toDF("a", "_set_a").join(many, "a", "left").select("a", "_set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1)).alias("_part"))
+    both = cut.join(sets.toDF("b", "_set_b"), "b").join(spread, ["a", "_part"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -211,18 +218,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_c
 def meetings(rows: DataFrame, meta, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) of rows (key, rep, comp) with one key and different components that sizes, estimate and
     wide estimate leave open.  Rows outside their key's largest component meet all others; those inside it
-    don't meet each other, and keys with one component drop out.  The estimates are join conditions, so what
+    don't meet each other, and keys with one component drop out.  Both sides of a large bucket are cut by hash
+    and each part meets each, so no task has more than MEETING_ROWS of either.  The estimates are join conditions, so what
     they rule out is never a row, and a pair of several common keys comes from the least of them only."""
-    tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("n_comps"))
-    some = durable(rows.join(tally.where("n_comps > 1").select("key", "major"), "key"))
+    tally = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("rows"), F.count(F.lit(1)).alias("n_comps"))
+    parts = lambda n: F.ceil(n / MEETING_ROWS).cast("int")
+    tally = tally.where("n_comps > 1").select("key", F.col("top.comp").alias("major"), parts(F.col("rows") - F.col("top.count")).alias("outer_parts"), parts(F.col("rows")).alias("all_parts"))
+    some = durable(rows.join(tally, "key"))
     wide = wide_signatures(docs, some.select("rep").distinct(), id_col, text_col)
     ws = [w for w in wide.columns if w != "rep"]
     side = lambda df, p, key, comp: df.join(meta(p, "rep", "bands"), "rep").join(wide.toDF("rep", *[p + w for w in ws]), "rep").withColumnsRenamed({"rep": key, "comp": comp})
-    left = side(some.where("comp <> major").drop("major"), "x", "a", "ca")
-    right = side(some.withColumn("is_major", F.col("comp") == F.col("major")).drop("major"), "y", "b", "cb")
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = some.where("comp <> major").withColumn("px", part("outer_parts")).withColumn("py", every("all_parts"))
+    others = some.withColumn("is_major", F.col("comp") == F.col("major")).withColumn("py", part("all_parts")).withColumn("px", every("outer_parts"))
+    drop = ("major", "outer_parts", "all_parts")
+    left, right = side(outer.drop(*drop), "x", "a", "ca"), side(others.drop(*drop), "y", "b", "cb")
     wanted = (F.col("ca") != F.col("cb")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & possible("x", "y", percent) & (estimate("x", "y", "w", WIDE) >= least_estimate(percent, WIDE))
     once = F.array_min(F.array_intersect("xbands", "ybands")) == left["key"]
-    met = left.join(right, (left["key"] == right["key"]) & wanted & once)
+    same = (left["key"] == right["key"]) & (left["px"] == right["px"]) & (left["py"] == right["py"])
+    met = left.join(right, same & wanted & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -243,7 +258,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
        rule out are compared but never made.  What remains to miss a link is a pair without a common band.
 
     Null text, or one without words: n_shingles 0, linked with nothing.  Rows repeating a doc_id are the
-    same document.  A null doc_id is never a component's id unless its class has no other; it is kept then.
+    same document, so their texts must be equal; give each row a key of its own where they aren't.  A null doc_id is never a component's id unless its class has no other; it is kept then.
     Empty input: empty output.  Other columns are ignored.
     """
     sketches = durable(sketch_documents(docs, id_col, text_col, band_rows(percent)))
