@@ -20,12 +20,44 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, SF)
-            assert out.count() >= 0
-            if name != "bpe":
-                assert out.columns == list(corpus_pipeline.COLUMNS)
+    """What each stage makes of nulls, empty and long texts, ties and repeated rows."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from weft.llm.bpe import default_path
+    from weft.llm.secrets import redact, scan
+
+    rows = [tuple(r) for r in odd_docs.select(*corpus_pipeline.COLUMNS).collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    run = {name: [tuple(r) for r in stage(spark, odd_docs, SF).collect()] for name, stage in corpus_pipeline.STAGES[:4]}
+    plain = {name: Counter(out) for name, out in run.items()}
+    words = lambda t: len((t or "").encode().split())
+    # Quality: whole rows, alike for equal texts, none of fewer than 50 words; the repeated prose stays, the long repeats go.
+    assert not plain["quality"] - Counter(rows)
+    assert {r[1] for r in run["quality"]} == {r[1] for r in rows if words(r[1]) >= 50 and r[1] in {x[1] for x in run["quality"]}}
+    assert all(plain["quality"][r] == Counter(rows)[r] for r in run["quality"])
+    # Near-duplicates: one row of the prose and its near copy, of the repeated one-word text none is dropped without a twin.
+    texts = [r[1] for r in run["near_dedup"]]
+    assert not plain["near_dedup"] - Counter(rows)
+    assert sum("quick fox" in (t or "") for t in texts) == 1
+    assert Counter(t for t in texts if not words(t)) == Counter(r[1] for r in rows if not words(r[1]))
+    assert {r[1] for r in rows if 0 < words(r[1]) and "quick fox" not in r[1]} == {t for t in texts if words(t) and "quick fox" not in t}
+    # Secrets: every row, clean texts as they are.
+    want = Counter((r[0], redact(r[1], s), r[2], r[3], len(redact(r[1], s))) if r[1] and (s := scan(r[1])) else r for r in rows)
+    assert plain["secrets"] == want
+    # Mixing: rows of the table at most twice each, none without words, about half as many words again.
+    assert not plain["mixing"] - Counter({r: 2 * n for r, n in Counter(rows).items()})
+    taken, total = sum(words(r[1]) for r in run["mixing"]), sum(words(r[1]) for r in rows)
+    assert all(words(r[1]) for r in run["mixing"]) and taken <= 1.5 * total
+    # Tokens: those of the library for each row.
+    library = Tokenizer.from_file(default_path())
+    coded = Counter((r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    assert Counter((i, tuple(ids)) for i, n, ids in ((x[0], x[1], x[2]) for x in map(tuple, stages["bpe"](spark, odd_docs, SF).select("doc_id", "n_tokens", "ids").collect())) if n == len(ids)) == coded
+    for name, stage in stages.items():
+        out = stage(spark, no_docs, SF)
+        assert out.count() == 0
+        assert out.columns == (["doc_id", "n_tokens", "ids"] if name == "bpe" else list(corpus_pipeline.COLUMNS))
 
 
 def test_near_copies_from_eighty_percent_go(spark):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import bounded_batches
+from weft.session import slices
 
 #: Kinds in the order in which spans of one start are listed; the first three are found on their own.
 KINDS = ("assign", "access", "hex", "weak", "identifier", "endpoint")
@@ -128,10 +128,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, spans): the secrets of every whole text as an array of (kind, start, end) in code points, end
     exclusive, by start, then kind in the order of KINDS.  One pass without shuffle, a text at a time; a null
     or empty text has no span.  Repeated rows give repeated rows; other columns are ignored."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py())] for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(spans, SPANS)], names=[id_col, "spans"])
 
@@ -150,11 +149,12 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs``, same columns and rows, with secrets out of the text and the length set anew."""
-    bounded_batches(docs.sparkSession)
+    """``docs``, same columns and rows, with secrets out of the text and the length set anew.  Null texts stay
+    null, texts without a secret and their lengths stay as they are; repeated rows repeat; an empty table gives
+    none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [t.as_py() for t in b.column(text_col)]
             clean = [redact(t, spans) if t and (spans := scan(t)) else t for t in texts]
             new = {text_col: pa.array(clean, pa.string())}

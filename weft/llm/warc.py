@@ -6,7 +6,6 @@ import base64
 import hashlib
 import io
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -14,11 +13,10 @@ from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import durable, shared_folder, slices
+from weft.session import durable, shared_folder, slices, storage
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Every record's date; a rerun writes the same bytes.
@@ -138,13 +136,6 @@ def normalise(chunks: Iterable[bytes], level: int = 4) -> tuple[bytes, list[Entr
 # Files
 
 
-def storage(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder or file and the path there, for workers: local paths and whatever Arrow opens."""
-    if "://" in uri and not uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), re.sub(r"\Afile:(//)?(?=/)", "", uri)
-
-
 def chunks_of(uri: str) -> Iterator[bytes]:
     store, path = storage(uri)
     with store.open_input_stream(path, compression=None) as f:
