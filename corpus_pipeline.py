@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from weft.llm.minhash import near_duplicates
 from weft.llm.mixing import mix_sources
 from weft.llm.quality import keep_good, train_line_crf
 from weft.llm.secrets import redact_documents
-from weft.session import LOCAL_CHECKPOINTS, broadcast_if_few, durable, table
+from weft.session import broadcast_if_few, durable, shared_folder, table
 
 #: Least similarity, in percent, of near-duplicates; only op10_neardup's contract asks for 85.
 NEAR = 80
@@ -22,7 +20,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the labels of the data folder train the line model."""
+    """Documents that the quality rules keep; the labels of the data folder train the line model.  Null and
+    empty texts go, as all of fewer than 50 words; rows are judged one by one, so repeated ones stay or go
+    together; an empty table stays empty."""
     docs = docs.select(*COLUMNS)
     return keep_good(docs, train_line_crf(docs, table(spark, sf_dir, "labels")))
 
@@ -51,13 +51,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every secret replaced by its kind."""
+    """Documents with every secret replaced by its kind; all rows stay, null texts stay null."""
     return redact_documents(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them: not at all, once or twice.  Equal rows, which can't be told from
-    each other, come as often as the mix takes all of them together."""
+    each other, come as often as the mix takes all of them together.  Rows without a word are never taken; null
+    sources are one source; an empty table stays empty."""
     docs = keyed(docs)
     copies = mix_sources(docs, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = docs.join(broadcast_if_few(copies.where("_copies > 0")), "_key")
@@ -66,7 +67,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training tokens: (doc_id, n_tokens, ids), a row for each copy in the mix."""
+    """The training tokens: (doc_id, n_tokens, ids), a row for each copy in the mix; null and empty texts, which
+    earlier stages drop, would have none; an empty table stays empty."""
     coded = encode_documents(docs, default_path())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -78,9 +80,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-    folder = f"{base}/corpus-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.  The folder is
+    deleted when the driver ends."""
+    folder = shared_folder(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
