@@ -266,3 +266,64 @@ def test_negatives_beside_one_dominant_cluster(spark):
     rec = spark.range(1_000_000).select("id", F.when(F.col("id") < 60, 1).otherwise(0).alias("cluster"))
     rows = pairs.negative_sample(rec, 5000).collect()
     assert len({(r["a"], r["b"]) for r in rows}) == 5000 and all(r["a"] < 60 <= r["b"] for r in rows)
+
+
+def test_judges_that_hang_or_ask_to_wait(spark):
+    import time
+
+    p = spark.createDataFrame([(1, 2, "hang"), (3, 4, "wait"), (5, 6, "ok")], "a bigint, b bigint, prompt string").coalesce(1)
+
+    def judge(prompt):
+        if prompt == "hang":
+            time.sleep(30)
+        if prompt == "wait":
+            raise judging.RateLimited("slow down")
+        return "はい"
+
+    began = time.time()
+    rows = judging.ask(judging.with_key(p), judge, attempts=2, timeout=0.5, rate_wait=0.4, pace=0.1, concurrency=1).collect()
+    assert time.time() - began < 20
+    assert {r["key"]: (r["answer"], r["error"]) for r in rows} == {"1_2": (None, "TimeoutError: no answer in 0.5 s"), "3_4": (None, "RateLimited: slow down"), "5_6": ("はい", None)}
+    assert [r["a"] for r in judging.first_pairs(p, 2).collect()] == [1, 3] and judging.first_pairs(p, 0).count() == 3
+
+
+def test_hubs_make_no_squares(spark):
+    """Triangles and common neighbours of random graphs and of a hub, against brute force."""
+    r = random.Random(6)
+    for edges in ([tuple(sorted(r.sample(range(25), 2))) for _ in range(120)], [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 59, 2)], []):
+        edges = sorted(set(edges))
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        score = {e: round(r.random(), 3) for e in edges}
+        df = spark.createDataFrame([(a, b, score[a, b]) for a, b in edges], "a bigint, b bigint, score double")
+        got = {tuple(x) for x in graph.triangles(df).collect()}
+        assert got == {(u, v, w, score[u, v], score[v, w], score[u, w]) for u, v in edges for w in near[u] & near[v] if w > v}
+        assert {tuple(x) for x in graph.common_neighbors(df).collect()} == {(a, b, len(near[a] & near[b])) for a, b in edges}
+
+
+def test_close_and_nearest_by_blocks(spark):
+    from weft.operators.knn import within
+
+    x, df = vectors(spark, 60)
+    for radius in (0.5, 1.5, 2.5):
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= radius}
+        for rows in (7, 1000):
+            assert {tuple(r) for r in within(df, radius, block_rows=rows).collect()} == want
+    assert within(df.limit(1), 1.0).count() == 0
+    m = df.withColumn("component", F.col("g"))
+    close = spark.createDataFrame([(0, 1), (0, 2)], "ca int, cb int")
+    for rows in (4, 1000):
+        for r in blocking.nearest_pairs(m, close, rows).collect():
+            want = min((float(((x[j] - x[i]) ** 2).sum()), i, j) for i in range(60) for j in range(60) if i % 3 == r["ca"] and j % 3 == r["cb"])
+            assert (r["a"], r["b"]) == want[1:] and abs(r["d2"] - want[0]) < 1e-9
+
+
+def test_numbers_by_ranges(spark):
+    from weft.session import numbered
+
+    ids = random.Random(1).sample(range(10**6), 500)
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(7)
+    assert {r["id"]: r["number"] for r in numbered(df, "id").collect()} == {v: k for k, v in enumerate(sorted(ids))}
+    assert numbered(df.limit(0), "id").count() == 0

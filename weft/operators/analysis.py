@@ -6,17 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _counted(rows: DataFrame, score: str, *by: str) -> DataFrame:
+    """(*by, s, n): how often each score occurs, so that quartiles keep different scores only."""
+    return rows.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _spread(population: bool) -> Column:
+    """The standard deviation from (s, n)."""
+    n, total = F.sum(F.when(F.col("s").isNotNull(), F.col("n"))), F.sum(F.col("s") * F.col("n"))
+    square = F.sum(F.col("s") * F.col("s") * F.col("n")) - total * total / n
+    return F.when(n > (0 if population else 1), F.sqrt(F.greatest(square, F.lit(0.0)) / (n if population else n - 1)))
+
+
 def describe(rows: DataFrame, by: str, score: str = "score") -> DataFrame:
-    """count, mean, std (sample), min, linear quartiles and max of the scores of each group."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = rows.groupBy(by).agg(F.count(score).alias("count"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.min(score).alias("min"), q.alias("q"), F.max(score).alias("max"))
+    """count, mean, std (sample), min, linear quartiles and max of the scores of each group.  Equal scores are
+    counted first; null scores count nowhere."""
+    some = F.col("s").isNotNull()
+    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    count = F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0))
+    g = _counted(rows, score, by).groupBy(by).agg(count.alias("count"), (F.sum(F.col("s") * F.col("n")) / count).alias("mean"), _spread(False).alias("std"), F.min("s").alias("min"), q.alias("q"), F.max("s").alias("max"))
     return g.select(by, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def summary(rows: DataFrame, score: str = "score") -> DataFrame:
-    """One row: mean, median, standard deviation of the population, quartiles."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = rows.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), q.alias("q"))
+    """One row: mean, median, standard deviation of the population, quartiles.  Equal scores are counted first."""
+    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    g = _counted(rows.where(F.col(score).isNotNull()), score).agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean"), _spread(True).alias("std"), q.alias("q"))
     return g.select("mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
 
@@ -61,9 +76,9 @@ def histogram(rows: DataFrame, score: str = "score", bins: int = 50) -> DataFram
 
 
 def density(rows: DataFrame, by: str, score: str = "score", points: int = 50, bandwidth: float = 0.05) -> DataFrame:
-    """(by, x, density): a Gaussian kernel density of each group over ``points`` places in [0, 1].  Scores are
-    counted in a thousandths grid first, so the kernel meets bounded counts, not rows."""
-    grid = rows.where(F.col(score).isNotNull()).groupBy(by, F.round(score, 3).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    """(by, x, density): a Gaussian kernel density of each group over ``points`` places in [0, 1].  Equal scores
+    are counted first, so the kernel meets different scores, not rows."""
+    grid = _counted(rows.where(F.col(score).isNotNull()), score, by)
     spots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / float(points - 1)))
     k = F.exp(-F.pow((F.col("x") - F.col("s")) / bandwidth, 2) / 2) / (bandwidth * 2.5066282746310002)
     return grid.select(by, "s", "n", spots.alias("x")).groupBy(by, "x").agg((F.sum(k * F.col("n")) / F.sum("n")).alias("density"))

@@ -58,17 +58,33 @@ def clusters_of(vertices: DataFrame, positive: DataFrame, a: str = "a", b: str =
     return connected_components(positive, vertices, a, b)
 
 
+def _cycles(edges: DataFrame) -> DataFrame:
+    """(f, x, y, p_fx, p_fy, p_xy) with x < y: each triangle of scored edges (a, b, p), a < b, once, from its
+    vertex of least (degree, id).  Edges point from lower to higher degree, so no vertex has more than about
+    sqrt(2 * edges) of them going out, and a hub makes no more paths of two than other vertices."""
+    degree = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    both = edges.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    out = durable(both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("f"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("t"), "p"))
+    paths = out.toDF("f", "x", "p_fx").join(out.toDF("f", "y", "p_fy"), "f").where("x < y")
+    return paths.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("p").alias("p_xy")), ["x", "y"])
+
+
 def common_neighbors(edges: DataFrame) -> DataFrame:
-    """(a, b, common): for each undirected edge (a, b), how many vertices are next to both; an equi-join on
-    the shared vertex, then on the edge."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    two = edges.join(both.toDF("a", "w"), "a").join(both.toDF("b", "w"), ["b", "w"]).groupBy("a", "b").count()
-    return edges.select("a", "b").join(two, ["a", "b"], "left").select("a", "b", F.coalesce("count", F.lit(0)).cast("long").alias("common"))
+    """(a, b, common): for each undirected edge (a, b), a < b, how many vertices are next to both: the triangles
+    it is in."""
+    found = _cycles(edges.select("a", "b", F.lit(1).alias("p")))
+    sides = F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("f", "x"), ("f", "y"), ("x", "y"))])
+    count = found.select(F.explode(sides).alias("e")).groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("common"))
+    return edges.select("a", "b").join(count, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).cast("long").alias("common"))
 
 
 def triangles(scored: DataFrame) -> DataFrame:
-    """(u, v, w, p_uv, p_vw, p_wu) with u < v < w for scored edges (a, b, score): each triangle once."""
-    uv = scored.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("score").alias("p_uv"))
-    vw = scored.select(F.col("a").alias("v"), F.col("b").alias("w"), F.col("score").alias("p_vw"))
-    uw = scored.select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("score").alias("p_wu"))
-    return uv.join(vw, "v").join(uw, ["u", "w"]).select("u", "v", "w", "p_uv", "p_vw", "p_wu")
+    """(u, v, w, p_uv, p_vw, p_wu) with u < v < w for scored edges (a, b, score), a < b: each triangle once."""
+    t = _cycles(scored.select("a", "b", F.col("score").alias("p")))
+    first, last = F.col("f") < F.col("x"), F.col("f") > F.col("y")
+    pick = lambda low, middle, high: F.when(first, F.col(low)).when(last, F.col(high)).otherwise(F.col(middle))
+    return t.select(
+        pick("f", "x", "x").alias("u"), pick("x", "f", "y").alias("v"), pick("y", "y", "f").alias("w"),
+        pick("p_fx", "p_fx", "p_xy").alias("p_uv"), pick("p_xy", "p_fy", "p_fy").alias("p_vw"), pick("p_fy", "p_xy", "p_fx").alias("p_wu"),
+    )

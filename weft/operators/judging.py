@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -23,22 +25,70 @@ def with_key(pairs: DataFrame, model: str | None = None) -> DataFrame:
     return pairs.withColumn("key", cache_key(F.col("a"), F.col("b"), F.lit(model) if model else None))
 
 
-def ask(pairs: DataFrame, judge: Callable[[str], str], concurrency: int = 5, attempts: int = 1, pause: float = 0.0) -> DataFrame:
+class RateLimited(Exception):
+    """What a judge raises when its service asks to wait."""
+
+
+def first_pairs(pairs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` pairs by (a, b), for a trial run; all of them if ``n`` is 0 or less."""
+    return pairs.orderBy("a", "b").limit(n) if n > 0 else pairs
+
+
+def _within(judge: Callable[[str], str], prompt: str, timeout: float | None) -> str:
+    """The judge's answer, or TimeoutError after ``timeout`` seconds; the call itself is left to end unheard."""
+    if timeout is None:
+        return judge(prompt)
+    said: queue.SimpleQueue = queue.SimpleQueue()
+
+    def call() -> None:
+        try:
+            said.put((judge(prompt), None))
+        except BaseException as e:  # handed over to the waiting thread
+            said.put((None, e))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        answer, error = said.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"no answer in {timeout:g} s") from None
+    if error is not None:
+        raise error
+    return answer
+
+
+def ask(
+    pairs: DataFrame,
+    judge: Callable[[str], str],
+    concurrency: int = 5,
+    attempts: int = 1,
+    pause: float = 0.0,
+    timeout: float | None = 60.0,
+    pace: float = 0.0,
+    rate_wait: float = 5.0,
+) -> DataFrame:
     """Pairs (key, prompt) with the judge's ``answer``, or the ``error`` of its last attempt.
 
     ``judge`` is called by at most ``concurrency`` threads in each task; the number of tasks bounds the rest.
-    ``pause`` seconds are waited before each further attempt.
+    A call that takes more than ``timeout`` seconds is an error.  Each thread waits ``pace`` seconds after a
+    call, ``pause`` more before a further attempt, and ``rate_wait`` instead after RateLimited.
     """
 
     def one(prompt: str) -> tuple[str | None, str | None]:
-        error = None
+        error, wait = None, 0.0
         for k in range(attempts):
-            if k and pause:
-                time.sleep(pause)
+            if wait:
+                time.sleep(wait)
             try:
-                return judge(prompt), None
+                return _within(judge, prompt, timeout), None
+            except RateLimited as e:
+                error, wait = f"RateLimited: {e}", rate_wait
+                if k + 1 == attempts:
+                    time.sleep(wait)  # the service's other callers are spared too
             except Exception as e:  # what an external service raises becomes the row's error
-                error = f"{type(e).__name__}: {e}"
+                error, wait = f"{type(e).__name__}: {e}", pause
+            finally:
+                if pace:
+                    time.sleep(pace)
         return None, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +128,10 @@ def predictions(judged: DataFrame) -> DataFrame:
 
 
 def compare_models(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Two models' predictions of the same pairs side by side."""
-    one = before.select("a", "b", F.col("predicted").alias("predicted_before"), F.col("score").alias("score_before"))
-    two = after.select("a", "b", F.col("predicted").alias("predicted_after"), F.col("score").alias("score_after"))
-    return one.join(two, ["a", "b"])
+    """Two models' predictions of the same pairs side by side, with their errors."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        error = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+        return df.select("a", "b", F.col("predicted").alias(f"predicted_{name}"), F.col("score").alias(f"score_{name}"), error.alias(f"error_{name}"))
+
+    return side(before, "before").join(side(after, "after"), ["a", "b"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,9 +26,9 @@ def ngram_vector(text: str, dim: int = 300, n: int = 3) -> np.ndarray:
     return v / size if size else v
 
 
-def embed(texts: DataFrame, embedder: Callable[[list[str]], list] | None = None, batch: int = 50, attempts: int = 3, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def embed(texts: DataFrame, embedder: Callable[[list[str]], list] | None = None, batch: int = 50, attempts: int = 3, delay: float = 0.0, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, embedding) of records with text.  ``embedder`` takes a list of at most ``batch`` texts (a hosted
-    model's client, say) and is tried ``attempts`` times; a batch that keeps failing has no rows.  Without one,
+    model's client, say) and is tried ``attempts`` times, ``delay`` seconds apart; a batch that keeps failing has no rows.  Without one,
     ngram_vector.  Null and empty texts have no row."""
     make = embedder or (lambda part: [ngram_vector(t) for t in part])
 
@@ -41,6 +42,7 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], list] | None = None,
                     except Exception:
                         if k + 1 == attempts:
                             break
+                        time.sleep(delay)
                         continue
                     yield pa.record_batch([part.column(0), pa.array([np.asarray(v, np.float32) for v in vectors], pa.list_(pa.float32()))], names=["id", "embedding"])
                     break
@@ -49,6 +51,18 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], list] | None = None,
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, embedding array<float>")
 
 
+def sentence_vectors(texts: DataFrame, words: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, embedding): the mean of the unit vectors of a text's words, by white space, from a table (word, vector)
+    of a word-vector file; unknown words count nowhere, and texts without a known one have no row.  Vectors are
+    summed by place, so no task gathers a text's words."""
+    tokens = texts.select(F.col(id_col).alias("id"), F.explode(F.split(F.trim(F.col(text_col)), r"\s+")).alias("word")).where("word <> ''")
+    counts = tokens.groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = words.dropDuplicates(["word"]).withColumn("norm", norm).select("word", F.when(F.col("norm") > 0, F.transform("vector", lambda x: x / F.col("norm"))).otherwise(F.col("vector").cast("array<double>")).alias("u"))
+    places = counts.join(unit, "word").select("id", "n", F.posexplode("u").alias("i", "x")).groupBy("id", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).cast("float").alias("x"))
+    return places.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+
+
 @dataclass(frozen=True)
 class Network:
     """Linear, ReLU, Linear; dropout acts in training only."""

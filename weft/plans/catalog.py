@@ -404,7 +404,7 @@ def score_histogram(spark, sf_dir):
     return analysis.histogram(judged(spark, sf_dir))
 
 
-@query(sql_of(10, SCORED, """gr AS (SELECT gold, round(score, 3) AS s, count(*) AS n FROM ju GROUP BY ALL), sp AS (SELECT i / 49.0::DOUBLE AS x FROM range(50) r(i))""",
+@query(sql_of(10, SCORED, """gr AS (SELECT gold, score AS s, count(*) AS n FROM ju GROUP BY ALL), sp AS (SELECT i / 49.0::DOUBLE AS x FROM range(50) r(i))""",
     then="SELECT gold, round(x, 6) AS x, round(sum(exp(-0.5::DOUBLE * pow((x - s) / 0.05::DOUBLE, 2)) / (0.05::DOUBLE * 2.5066282746310002::DOUBLE) * n) / sum(n), 6) AS density FROM gr, sp GROUP BY gold, x"))
 def score_density(spark, sf_dir):
     return rounded(analysis.density(judged(spark, sf_dir), "gold"), "x", "density")
@@ -521,7 +521,7 @@ def judged_pairs(spark, sf_dir):
 @query(sql_of(10, SCORED, then="SELECT a, b, predicted AS predicted_before, score AS score_before, gold AS predicted_after, CASE WHEN gold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score_after FROM ju"))
 def before_after_join(spark, sf_dir):
     rows = durable(judged(spark, sf_dir))
-    return judging.compare_models(rows, rows.select("a", "b", F.col("gold").alias("predicted"), F.col("gold").cast("int").cast("double").alias("score")))
+    return judging.compare_models(rows, rows.select("a", "b", F.col("gold").alias("predicted"), F.col("gold").cast("int").cast("double").alias("score"))).drop("error_before", "error_after")
 
 
 SYSTEM_SQL = """'あなたは2つの書誌情報が実質的に同一の文献を指すかどうかを判断する専門家です。' || chr(10) || 'まず、2つの書誌情報が同一の文献と思われる場合は「はい」、そうでない場合は「いいえ」で明確に回答してください。' || chr(10) || '次に、その判断の確信度を示す類似度スコアを0.0（全く異なる）から1.0（完全に同一）の範囲で提示してください。'"""
@@ -571,3 +571,75 @@ def pair_distances(spark, sf_dir):
     r = records(spark, sf_dir).select("id", "embedding")
     both = r.toDF("a", "va").join(r.select(F.col("id").alias("b"), (F.col("id") - 1).alias("a"), F.col("embedding").alias("vb")), "a")
     return both.select("a", "b", F.round(squared_distance(F.col("va"), F.col("vb")), 6).alias("d2"))
+
+
+@query(sql_of(10, SCORED, then="""SELECT a AS record_id_1, b AS record_id_2, CASE WHEN gold THEN 'True' ELSE 'False' END AS ground_truth_similar, CASE WHEN predicted THEN 'True' ELSE 'False' END AS predicted_similar_before,
+score AS score_before, CASE WHEN score < 0.6::DOUBLE THEN 'low' END AS error_before, CASE WHEN (a + b) % 5 <> 0 THEN CASE WHEN gold THEN 'True' ELSE 'False' END END AS predicted_similar_after,
+CASE WHEN (a + b) % 5 <> 0 THEN 1 - score END AS score_after, CASE WHEN (a + b) % 5 <> 0 AND (a + b) % 7 = 0 THEN 'late' END AS error_after FROM ju"""))
+def detailed_results(spark, sf_dir):
+    """The file of two models' results; the second lacks a fifth of the pairs."""
+    from weft.sources import layouts
+
+    rows = durable(judged(spark, sf_dir))
+    before = rows.select("a", "b", "predicted", "score", F.when(F.col("score") < 0.6, "low").alias("error"))
+    after = rows.where("(a + b) % 5 <> 0").select("a", "b", F.col("gold").alias("predicted"), (1 - F.col("score")).alias("score"), F.when((F.col("a") + F.col("b")) % 7 == 0, "late").alias("error"))
+    return layouts.detailed(rows.select("a", "b", "gold"), before, after)
+
+
+@query(sql_of(10, SCORED, PROMPTED, then="""SELECT a AS record_id_1, b AS record_id_2, x.details AS bib_info_1, y.details AS bib_info_2, prompt AS llm_prompt, CASE WHEN gold THEN 'はい' || chr(10) || '類似度スコア: 0.9' ELSE 'いいえ' END AS llm_raw_response,
+CASE WHEN gold THEN 'はい' ELSE 'いいえ' END AS llm_judgement, CASE WHEN gold THEN 0.9::DOUBLE END AS llm_similarity_score, '' AS llm_reason, 'ok' AS status FROM pp JOIN dt x ON a = x.id JOIN dt y ON b = y.id"""))
+def results_file(spark, sf_dir):
+    """The ten columns of a judge's result file; the stand-in judge answers by a mark behind the prompt."""
+    from weft.sources import layouts
+
+    rows = durable(prompted(spark, sf_dir))
+    asked = rows.select("a", "b", F.concat(F.col("prompt"), F.when(F.col("gold"), "#y").otherwise("#n")).alias("prompt"))
+    said = judging.explain_pairs(asked, lambda prompt: "はい\n類似度スコア: 0.9" if prompt.endswith("#y") else "いいえ")
+    said = said.withColumn("prompt", F.expr("substr(prompt, 1, length(prompt) - 2)"))
+    return layouts.results(said, details(spark, sf_dir))
+
+
+@query(sql_of(10, SCORED, """po AS (SELECT a AS s, b AS t FROM ju WHERE score >= 0.66::DOUBLE UNION SELECT b, a FROM ju WHERE score >= 0.66::DOUBLE),
+iv AS (SELECT a AS id FROM ju UNION SELECT b FROM ju), pr AS (SELECT id, id AS r FROM iv UNION SELECT pr.id, po.t FROM pr JOIN po ON pr.r = po.s)""", then="SELECT id, min(r) AS component FROM pr GROUP BY id"))
+def predicted_clusters(spark, sf_dir):
+    """Clusters that positive judgements make of the judged records."""
+    rows = durable(judged(spark, sf_dir))
+    ids = rows.select(F.col("a").alias("id")).union(rows.select("b")).distinct()
+    return graph.clusters_of(ids, rows.where(F.col("score") >= 0.66))
+
+
+@query(sql_of(10, then="SELECT a, b FROM ed WHERE a % 3 <> 0 AND b % 3 <> 0"))
+def trainable_pairs(spark, sf_dir):
+    return pairs.trainable(knn_edges(spark, sf_dir, 10).select("a", "b"), clusters(spark, sf_dir).where("id % 3 <> 0"))
+
+
+@query("SELECT coalesce(CASE WHEN label <> 3 THEN label::VARCHAR END, 'unknown_cluster') AS cluster_id, count(*) AS n FROM embeddings GROUP BY 1")
+def cluster_summary(spark, sf_dir):
+    from weft.sources.records import cluster_summary as summary
+
+    return summary(clusters(spark, sf_dir).select(F.when(F.col("cluster") != 3, F.col("cluster").cast("string")).alias("cluster_id")))
+
+
+@query(sql_of(1, COMP, f"""dt AS (SELECT doc_id AS id, {DETAILS} AS details FROM documents WHERE doc_id % 4 <> 0)""", then="""SELECT 'contracted_cluster_' || dense_rank() OVER (ORDER BY component) || '_node_' || component AS name,
+string_agg(co.id || '=' || coalesce(details, 'Details not found for ' || co.id), ';' ORDER BY co.id) AS members FROM co LEFT JOIN dt ON co.id = dt.id GROUP BY component"""))
+def cluster_details(spark, sf_dir):
+    """Clusters with their members' texts, of which some are missing."""
+    from weft.sources.graphs import cluster_listing as listing
+
+    got = listing(components(spark, sf_dir)[1], "contracted_cluster_", details(spark, sf_dir).where("id % 4 <> 0"), first=1, node=True)
+    return got.select("name", F.array_join(F.transform("members", lambda m: F.concat_ws("=", m["record_id"].cast("string"), m["details"])), ";").alias("members"))
+
+
+@query("""SELECT doc_id AS id, 'タイトル: ' || coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, source, 'タイトル不明') || chr(10) || '著者: ' || CASE WHEN doc_id % 3 = 0 THEN '著者不明' ELSE lang || ', ' || source END || chr(10)
+|| '出版社: ' || coalesce(CASE WHEN doc_id % 5 = 0 THEN lang END, '出版社不明') || chr(10) || '出版日: ' || n_chars AS details, CASE WHEN doc_id % 4 = 0 THEN 'unknown_model' ELSE 'ft_' || lang || '-' || source END AS model FROM documents""")
+def generic_details(spark, sf_dir):
+    """Details by generic names first, and model names made fit for files."""
+    from weft.functions.text import file_safe_model, prompt_details_any
+
+    none, n = F.lit(None).cast("string"), F.col("doc_id")
+    block = prompt_details_any(
+        F.when(n % 2 == 0, F.col("lang")), F.col("source"), F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source")),
+        F.when(n % 5 == 0, F.col("lang")), none, none, F.col("n_chars").cast("string"),
+    )
+    model = F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("ft:"), F.col("lang"), F.lit("/"), F.col("source")))
+    return table(spark, sf_dir, "documents").select(n.alias("id"), block.alias("details"), file_safe_model(model).alias("model"))

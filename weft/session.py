@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only by a local master, where neither the session nor the context names a checkpoint folder (tests).
@@ -48,6 +50,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def storage(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file and the path there, for workers: local paths and whatever Arrow opens."""
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), re.sub(r"\Afile:(//)?(?=/)", "", uri)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def numbered(df: DataFrame, by: str, name: str = "number") -> DataFrame:
+    """``df`` with a number from 0 in the order of column ``by``.  Rows are dealt out by ranges of it; a range
+    starts at the sum of the counts before it, so no task sorts all rows.  Rows of one value are numbered in any
+    order; a value that many rows share makes one large range."""
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = durable(df.repartitionByRange(ranges, by).withColumn("_range", F.spark_partition_id()))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read from there, so that lineage
     ends here and a lost executor costs nothing that is already computed.  A checkpoint folder set here is
@@ -60,15 +88,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch to ``rows`` rows if it is higher: a batch of long texts must fit
-    in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows and about ``size`` bytes, a row at least, so that what a
     worker makes of one piece is bounded too.  Spark itself bounds the batches it sends by bytes; no session

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from weft import session
+
 SCHEMA = "ord bigint, record_id string, cluster_id string, data map<string,string>"
 #: Top-level keys that describe a dataset and hold no records: fixed values.
 METADATA_KEYS = ("version", "type", "id", "summary", "inf_attr")
@@ -49,13 +51,14 @@ def flatten(doc, tolerant: bool = False) -> Iterator[tuple]:
 
 
 def load(path: str):
-    """A parsed YAML file; None if it is missing or broken."""
+    """A parsed YAML file, in any store that Arrow opens; None if it is missing or broken."""
     import yaml
 
     try:
-        with open(path, encoding="utf-8") as f:
-            return yaml.load(f, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except (OSError, yaml.YAMLError):
+        store, at = session.storage(path)
+        with store.open_input_stream(at, compression=None) as f:
+            return yaml.load(f.read().decode("utf-8"), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except (OSError, UnicodeDecodeError, yaml.YAMLError):
         return None
 
 
@@ -122,5 +125,5 @@ def write_sample(sample: DataFrame, path: str, metadata: dict | None = None) ->
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Rows that came without ``ord``, numbered by id."""
-    return records.withColumn("ord", F.row_number().over(Window.orderBy("record_id")) - 1)
+    """Rows that came without ``ord``, numbered by id, by ranges of it."""
+    return session.numbered(records, "record_id", "ord")
