@@ -100,7 +100,7 @@ def test_files(spark, tmp_path):
     files.write_csv(df.limit(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
     files.write_labelled_pairs(df, str(tmp_path / "lp"))
-    assert json.loads("".join(p.read_text() for p in (tmp_path / "lp").glob("part-*"))) == [["a", "b", 1]]
+    assert [x for p in (tmp_path / "lp").glob("part-*") for x in json.loads(p.read_text())] == [["a", "b", 1]]
     assert [tuple(r) for r in files.read_labelled_pairs(spark, str(tmp_path / "lp")).collect()] == [("a", "b", 1)]
 
 
