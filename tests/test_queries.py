@@ -63,7 +63,7 @@ CORE = "import __spark_entry__ as e; from weft.plans import catalog; q, o = e.qu
 
 def test_entry_without_llm(tmp_path):
     """Both folders and the pipeline really deleted: the rest imports, and tests are found."""
-    code = CORE + "; import subprocess, sys; r = subprocess.run([sys.executable, '-m', 'pytest', 'tests', '-q', '--collect-only'], capture_output=True, text=True); assert r.returncode == 0 and 'llm' not in r.stdout, r.stdout[-2000:]"
+    code = CORE + "; import subprocess, sys; r = subprocess.run([sys.executable, '-m', 'pytest', 'tests', '-q', '--collect-only'], capture_output=True, text=True); assert r.returncode == 0 and 'tests/llm' not in r.stdout, r.stdout[-2000:]"
     assert run_in_copy(tmp_path, code, "weft/llm", "tests/llm", "corpus_pipeline.py").split() == ["0"]
 
 

@@ -22,7 +22,7 @@ def describe(rows: DataFrame, by: str, score: str = "score") -> DataFrame:
     """count, mean, std (sample), min, linear quartiles and max of the scores of each group.  Equal scores are
     counted first; null scores count nowhere."""
     some = F.col("s").isNotNull()
-    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     count = F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0))
     g = _counted(rows, score, by).groupBy(by).agg(count.alias("count"), (F.sum(F.col("s") * F.col("n")) / count).alias("mean"), _spread(False).alias("std"), F.min("s").alias("min"), q.alias("q"), F.max("s").alias("max"))
     return g.select(by, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
@@ -30,7 +30,7 @@ def describe(rows: DataFrame, by: str, score: str = "score") -> DataFrame:
 
 def summary(rows: DataFrame, score: str = "score") -> DataFrame:
     """One row: mean, median, standard deviation of the population, quartiles.  Equal scores are counted first."""
-    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    q = F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     g = _counted(rows.where(F.col(score).isNotNull()), score).agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean"), _spread(True).alias("std"), q.alias("q"))
     return g.select("mean", F.col("q")[1].alias("median"), "std", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
