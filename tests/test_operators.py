@@ -268,6 +268,26 @@ def test_negatives_beside_one_dominant_cluster(spark):
     assert len({(r["a"], r["b"]) for r in rows}) == 5000 and all(r["a"] < 60 <= r["b"] for r in rows)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gold_pairs_are_made_in_blocks_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIR_BLOCK", 8)
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 500)
+    cluster = {i: None if i % 11 == 0 else 1 if i < 70 else i % 6 for i in range(200)}
+    rec = spark.createDataFrame([(i, c) for i, c in cluster.items()], "id bigint, cluster int")
+    want = sorted((a, b) for a in cluster for b in cluster if a < b and cluster[a] is not None and cluster[a] == cluster[b])
+    found = pairs.gold_pairs(rec)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() > 4 and "HashAggregate" not in plan_of(found)
+    # An id in two clusters, one of them with a record that is in both as well, and a row that repeats.
+    rec = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, 1), (2, 1), (5, 1), (None, 1)], "id bigint, cluster int")
+    got = [(r["a"], r["b"]) for r in pairs.gold_pairs(rec).collect()]
+    odd = {*range(1, 40, 2), 0, 2}
+    assert sorted(got) == sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2 == 0 or {a, b} <= odd})
+
+
 def test_judges_that_hang_or_ask_to_wait(spark):
     import time
 

@@ -15,14 +15,34 @@ def canonical_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+#: Records of one block of a cluster, about, and pairs of one task.
+PAIR_BLOCK, TASK_PAIRS = 1024, 2_000_000
+
+
 def gold_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
     """Every pair of records of one cluster, once; records without a cluster or with an orphan's have none.
     The result is as large as the sum of the squares of the clusters: count with contingency tables where
-    the pairs themselves aren't asked for."""
-    r = records.where(F.col(cluster_col).isNotNull() & ~F.col(cluster_col).cast("string").startswith(ORPHAN))
-    x = r.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("a"))
-    y = r.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("b"))
-    return x.join(y, "c").where("a < b").select("a", "b").distinct()
+    the pairs themselves aren't asked for.
+
+    A cluster is cut into blocks by hash; two blocks meet as one row of two arrays, and meetings are dealt out
+    over as many tasks as the count of pairs asks for.  Pairs are not shuffled, unless an id is in several
+    clusters."""
+    r = records.where(F.col(cluster_col).isNotNull() & ~F.col(cluster_col).cast("string").startswith(ORPHAN) & F.col(id_col).isNotNull())
+    r = r.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("id")).distinct()
+    sizes = r.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
+    blocks = r.join(sizes, "c").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    blocks = blocks.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = durable(blocks.groupBy("c", "blocks", "i").agg(F.collect_list("id").alias("ids")))
+    left = blocks.select("c", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("ids").alias("xs"))
+    met = left.join(blocks.select("c", F.col("i").alias("j"), F.col("ids").alias("ys")), ["c", "j"]).select("i", "j", "xs", "ys")
+    met = met.repartition(max(1, min(10_000, round(total / TASK_PAIRS))))
+    both = met.select("i", "j", F.explode("xs").alias("x"), "ys").select("i", "j", "x", F.explode("ys").alias("y")).where("i < j or x < y")
+    both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # Pairs come more than once only where both ids are in more than one cluster.
+    if r.groupBy("id").count().where("count > 1").isEmpty():
+        return both
+    return both.where("a < b").distinct()
 
 
 def positive_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
