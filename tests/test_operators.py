@@ -288,6 +288,15 @@ def test_gold_pairs_are_made_in_blocks_and_not_shuffled(spark, monkeypatch):
     assert sorted(got) == sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 == b % 2 == 0 or {a, b} <= odd})
 
 
+def test_positive_pairs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 100_000, raising=False)
+    rec = spark.range(3000).select("id", F.lit("one").alias("cluster"))
+    found = pairs.positive_pairs(rec)
+    parts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 3000 * 2999 // 2 and len(parts) > 4
+    assert found.where("a >= b or label <> 1").isEmpty()
+
+
 def test_judges_that_hang_or_ask_to_wait(spark):
     import time
 
