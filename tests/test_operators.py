@@ -297,6 +297,21 @@ def test_positive_pairs_are_dealt_out(spark, monkeypatch):
     assert found.where("a >= b or label <> 1").isEmpty()
 
 
+def test_negatives_come_from_arrays_and_equal_those_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PART", 4096, raising=False)
+    monkeypatch.setattr(pairs, "CHUNK", 1000, raising=False)
+    for make in (F.col("id"), F.concat(F.lit("é"), F.col("id").cast("string"))):
+        rec = spark.range(400).select(make.alias("id"), F.when(F.col("id") % 9 > 0, F.sqrt("id").cast("int")).alias("cluster"))
+        for size in (1, 5000, 10**6):
+            found = pairs.cross_sample(rec, size, "neg")
+            assert "Join" not in plan_of(found)
+            got = sorted(map(tuple, found.collect()))
+            with monkeypatch.context() as m:
+                m.setattr(pairs, "AT_HAND", 0)
+                assert got == sorted(map(tuple, pairs.cross_sample(rec, size, "neg").collect())) and got
+    assert pairs.cross_sample(rec, 0, "neg").count() == pairs.cross_sample(rec.where("cluster = 3"), 9, "neg").count() == 0
+
+
 def test_judges_that_hang_or_ask_to_wait(spark):
     import time
 

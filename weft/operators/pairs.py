@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,15 +129,100 @@ def drawn(spark: SparkSession, m: int, size: int, seed: str) -> DataFrame:
         tries = min(1 << 2 * half, tries * 2)
 
 
+#: Records up to this many are at hand in every worker, which makes pairs of numbers by itself; beyond, numbers
+#: meet records by joins.  The rows are the same.
+AT_HAND = 1_000_000
+#: Places of a task, and those that are tried at once.
+PART, CHUNK = 1 << 22, 1 << 17
+
+
+def round_tables(half: int, seed: str) -> np.ndarray:
+    """The round function of ``shuffled`` for every right half: a row for each round."""
+    first = lambda i: b"".join([md5(b"%s:%d:%d" % (seed.encode(), i, r)).digest()[:4] for r in range(1 << half)])
+    return np.stack([np.frombuffer(first(i), ">u4").astype(np.uint32) & np.uint32((1 << half) - 1) for i in range(1, ROUNDS + 1)])
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """The numbers below ``m`` in the order of ``shuffled``, by arrays; cluster k has the numbers from lo[k], and
+    number lo[k] + i is the pair of places s[k] + i // s[k] and i % s[k] (cross_index)."""
+
+    m: int
+    half: int
+    tables: np.ndarray
+    lo: np.ndarray
+    s: np.ndarray
+
+    def drawn(self, start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places from ``start`` to ``stop`` that hold a number below m, with that number."""
+        for at in range(start, stop, CHUNK):
+            t = np.arange(at, min(at + CHUNK, stop), dtype=np.int64)
+            left, right = (t >> self.half).astype(np.uint32), (t & ((1 << self.half) - 1)).astype(np.uint32)
+            for f in self.tables:
+                left, right = right, left ^ f[right]
+            i = left.astype(np.int64) << self.half | right
+            keep = np.flatnonzero(i < self.m)
+            yield t[keep], i[keep]
+
+    def pairs(self, start: int, stop: int, take: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(t, px, py): the first ``take`` of them with the places of their records."""
+        for t, i in self.drawn(start, stop):
+            if take <= 0:
+                return
+            t, i, take = t[:take], i[:take], take - len(t)
+            k = np.searchsorted(self.lo, i, side="right") - 1
+            s = self.s[k]
+            x, y = np.divmod(i - self.lo[k], s)
+            yield t, s + x, y
+
+
+def numbers_at_hand(spans: DataFrame, m: int, seed: str) -> Numbers:
+    half = max(1, ((m - 1).bit_length() + 1) // 2)
+    held = spans.orderBy("lo").select("lo", "s").toArrow()
+    return Numbers(m, half, round_tables(half, seed), *[held.column(c).to_numpy().astype(np.int64) for c in ("lo", "s")])
+
+
+def cross_parts(spark: SparkSession, shared, size: int) -> DataFrame:
+    """(start, stop, take): intervals of places, one a task, which hold the first ``size`` numbers of the
+    broadcast Numbers; the cut is found from counts of intervals."""
+    m, half = shared.value.m, shared.value.half
+    size, schema = min(size, m), "start bigint, stop bigint, take bigint"
+    if size <= 0:
+        return spark.createDataFrame([], schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array([sum(len(t) for t, _ in shared.value.drawn(a, min(a + step, tries))) for a in at], pa.int64())], names=["start", "n"])
+
+    tries = min(1 << 2 * half, int(size * (1 << 2 * half) / m * 1.05) + 256)
+    while True:
+        step = max(PART, -(-tries // PIECES))
+        counts = dict(spark.range(0, tries, step, -(-tries // step)).mapInArrow(count, "start bigint, n bigint").collect())
+        if sum(counts.values()) >= size:
+            break
+        tries = min(1 << 2 * half, tries * 2)
+    parts = []
+    for start, n in sorted(counts.items()):
+        if size > 0:
+            parts.append((start, min(start + step, tries), min(n, size)))
+        size -= n
+    return spark.createDataFrame(parts, schema).repartition(len(parts))
+
+
 def cross_sample(records: DataFrame, size: int, seed: str, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
     """(a, b, t): ``size`` pairs of records of different clusters, a < b, uniform without replacement, the same
     in every run; all of them if there are fewer.  ``t`` is the place in the random order.
 
     One rule at every size: numbers of pairs are drawn and turned into pairs, so the work is in proportion to
-    the records and ``size``, not to the pairs there are.  Intervals of clusters meet numbers by an equi-join on
-    ranges of numbers."""
+    the records and ``size``, not to the pairs there are.  Up to AT_HAND records the workers do so by arrays, and
+    nothing but the pairs leaves them; beyond, intervals of clusters meet numbers by an equi-join on ranges of
+    numbers, and places meet records."""
     rows, spans, m = cross_index(records, id_col, cluster_col)
-    numbers = drawn(records.sparkSession, m, size, seed)
+    spark = records.sparkSession
+    if rows.count() <= AT_HAND:
+        return _sample_at_hand(rows, spans, m, size, seed)
+    numbers = drawn(spark, m, size, seed)
     ranges = lambda i: F.floor(i.cast("double") * (PIECES / max(m, 1)))
     last = F.col("lo") + F.col("n") * F.col("s") - 1
     # A range more on both sides, for what rounding moves over an edge.
@@ -141,6 +233,21 @@ def cross_sample(records: DataFrame, size: int, seed: str, id_col: str = "id", c
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "t")
 
 
+def _sample_at_hand(rows: DataFrame, spans: DataFrame, m: int, size: int, seed: str) -> DataFrame:
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    held = rows.orderBy("pos").select("id").toArrow().column(0).combine_chunks()
+    shared, ids = spark.sparkContext.broadcast(numbers_at_hand(spans, m, seed)), spark.sparkContext.broadcast(held)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, stop, take in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for t, px, py in shared.value.pairs(start, stop, take):
+                    x, y = ids.value.take(pa.array(px)), ids.value.take(pa.array(py))
+                    yield pa.record_batch([pc.min_element_wise(x, y), pc.max_element_wise(x, y), pa.array(t)], names=["a", "b", "t"])
+
+    return cross_parts(spark, shared, size).mapInArrow(make, f"a {kind}, b {kind}, t bigint")
+
+
 def negative_sample(records: DataFrame, size: int, seed: str = "neg", id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
     """cross_sample with label 0, for training."""
     return cross_sample(records, size, seed, id_col, cluster_col).select("a", "b", F.lit(0).alias("label"))
