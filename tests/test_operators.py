@@ -312,6 +312,26 @@ def test_negatives_come_from_arrays_and_equal_those_of_joins(spark, monkeypatch)
     assert pairs.cross_sample(rec, 0, "neg").count() == pairs.cross_sample(rec.where("cluster = 3"), 9, "neg").count() == 0
 
 
+def test_loss_of_clusters_makes_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 5).astype(np.float32)], None if i % 13 == 0 else i % 4) for i in range(150)]
+    rec = spark.createDataFrame(rows, "id bigint, embedding array<float>, cluster int")
+    labelled = pairs.positive_pairs(rec).unionByName(pairs.negative_sample(rec, 700))
+    want = ml.contrastive_loss(labelled, rec).first()
+    gaps = rec.withColumn("embedding", F.when(F.col("id") > 3, F.col("embedding")))
+    known = ml.contrastive_loss(labelled.where("a > 3"), rec).first()
+    repeated = rec.union(rec.where("id = 9"))
+    slow = ml.contrastive_loss(pairs.positive_pairs(repeated).unionByName(pairs.negative_sample(repeated, 700)), repeated).first()
+    got = ml.cluster_loss(repeated, 700).first()
+    assert got["pairs"] == slow["pairs"] and abs(got["loss"] - slow["loss"]) < 1e-12
+    for name in ("positive_pairs", "cross_sample"):
+        monkeypatch.delattr(ml, name)
+    got, some = ml.cluster_loss(rec, 700).first(), ml.cluster_loss(gaps, 700).first()
+    assert got["pairs"] == want["pairs"] == some["pairs"] and abs(got["loss"] - want["loss"]) < 1e-12 and abs(some["loss"] - known["loss"]) < 1e-12
+    none = ml.cluster_loss(rec.where("id = 1"), 5).first()
+    assert none["pairs"] == 0 and none["loss"] is None
+
+
 def test_judges_that_hang_or_ask_to_wait(spark):
     import time
 

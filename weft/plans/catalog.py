@@ -539,9 +539,7 @@ p AS (SELECT x.id AS a, y.id AS b, 1 AS y FROM v x JOIN v y ON x.label = y.label
 d AS (SELECT p.y, sqrt(list_sum(list_transform(list_zip(v1.e, v2.e), lambda q: (q[1] - q[2]) * (q[1] - q[2])))) AS d FROM p JOIN v v1 ON p.a = v1.id JOIN v v2 ON p.b = v2.id)
 SELECT count(*) AS pairs, round(avg(y * d * d + (1 - y) * greatest(0, 1 - d) * greatest(0, 1 - d)), 6) AS loss FROM d""")
 def contrastive_loss(spark, sf_dir):
-    c = clusters(spark, sf_dir)
-    labelled = pairs.positive_pairs(c).unionByName(pairs.negative_sample(c, _positives(c)))
-    return rounded(ml.contrastive_loss(labelled, records(spark, sf_dir)), "loss")
+    return rounded(ml.cluster_loss(records(spark, sf_dir), _positives(clusters(spark, sf_dir))), "loss")
 
 
 @query("SELECT vec_id AS id, coalesce(CASE WHEN label <> 3 THEN label::VARCHAR END, 'gt_orphan_' || vec_id) AS cluster FROM embeddings")
