@@ -332,6 +332,14 @@ def test_loss_of_clusters_makes_no_pairs(spark, monkeypatch):
     assert none["pairs"] == 0 and none["loss"] is None
 
 
+def test_set_sizes_make_no_gold_pairs(spark, monkeypatch):
+    from weft.plans import catalog
+
+    monkeypatch.delattr(pairs, "gold_pairs")
+    row = catalog.pair_set_ops(spark, "/root/testdata/sf0.001").first()
+    assert row["in_either"] == row["in_both"] + row["only_proposed"] + row["only_gold"] and row["only_gold"] > 0
+
+
 def test_judges_that_hang_or_ask_to_wait(spark):
     import time
 

@@ -550,10 +550,9 @@ def gold_with_orphans(spark, sf_dir):
 
 @query(sql_of(10, GOLD, then="SELECT (SELECT count(*) FROM (SELECT a, b FROM ed INTERSECT SELECT a, b FROM go)) AS in_both, (SELECT count(*) FROM (SELECT a, b FROM ed EXCEPT SELECT a, b FROM go)) AS only_proposed, (SELECT count(*) FROM (SELECT a, b FROM go EXCEPT SELECT a, b FROM ed)) AS only_gold, (SELECT count(*) FROM (SELECT a, b FROM ed UNION SELECT a, b FROM go)) AS in_either"))
 def pair_set_ops(spark, sf_dir):
-    e = knn_edges(spark, sf_dir, 10).select("a", "b").withColumn("p", F.lit(1))
-    g = pairs.gold_pairs(clusters(spark, sf_dir)).withColumn("g", F.lit(1))
-    p, q = F.col("p").isNotNull(), F.col("g").isNotNull()
-    return e.join(g, ["a", "b"], "full").agg(F.count_if(p & q).alias("in_both"), F.count_if(p & ~q).alias("only_proposed"), F.count_if(q & ~p).alias("only_gold"), F.count(F.lit(1)).alias("in_either"))
+    """Sizes of the sets, by the clusters of proposed pairs and counts of clusters: gold pairs aren't made."""
+    q = metrics.edge_quality(knn_edges(spark, sf_dir, 10), clusters(spark, sf_dir))
+    return q.select(F.col("tp").alias("in_both"), F.col("fp").alias("only_proposed"), F.col("fn").alias("only_gold"), (F.col("proposed") + F.col("fn")).alias("in_either"))
 
 
 @query()
