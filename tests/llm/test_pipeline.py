@@ -99,3 +99,25 @@ def test_mix_counts_rows(spark):
     # nine rows of 60 words, a budget of 1.5 times that: 13 whole rows, each at most twice
     assert len(got) == 13
     assert all(got.count(t) <= (6 if t == words(0) else 2) for t in got)
+
+
+def test_what_a_worker_keeps_between_stages_is_bounded():
+    """A worker lives through all stages, so tables of words and freed memory of one stay beside the next."""
+    import tracemalloc
+
+    from weft.llm import bpe, minhash
+
+    code = bpe.Codec(bpe.default_path())
+    minhash._words.clear()
+    tracemalloc.start()
+    try:
+        for i in range(0, 300_000, 1000):
+            text = " ".join(f"w{i + j}" for j in range(1000))
+            minhash.shingle_set(text + " " + "x" * 100_000 + str(i))
+            if i < 150_000:
+                code.words([b"%dw" % (i + j) for j in range(1000)])
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        minhash._words.clear()
+    assert kept < 30e6

@@ -18,8 +18,8 @@ from weft.session import slices
 LEAF = 48
 #: Texts of more bytes than this are cut into halves down to pieces of at most half of it, wherever that falls.
 LONG_TEXT = 8192
-#: Words whose encoding a worker keeps; the table is emptied when it is full.
-KEEP_WORDS = 400_000
+#: Words whose encoding a worker keeps, at about 500 bytes each; the table is emptied when it is full.
+KEEP_WORDS = 1 << 16
 #: Words of these characters need no normalising but lower case: no white space, no marks, stable classes.
 PLAIN = regex.compile(r"[!-~¡-ɏ]+")
 #: Fixed value: the split rule of the public word-level vocabulary.

@@ -31,8 +31,8 @@ BROADCAST_IDS = 2_000_000
 MEETING_ROWS = 4096
 #: Minima of the wide signature of documents in buckets of several components.
 WIDE = 2048
-#: Word hashes that a worker keeps.
-KEEP_WORDS = 500_000
+#: Word hashes that a worker keeps, of words up to so many bytes; a worker outlives the stage, and so does its table.
+KEEP_WORDS, KEEP_BYTES = 1 << 16, 64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MIX = _rng.integers(1, 1 << 63, size=WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,9 +46,11 @@ _SHIFT = (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, :]
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= KEEP_BYTES:
+            if len(self) >= KEEP_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
