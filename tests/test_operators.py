@@ -297,6 +297,23 @@ def test_positive_pairs_are_dealt_out(spark, monkeypatch):
     assert found.where("a >= b or label <> 1").isEmpty()
 
 
+def test_positives_come_from_arrays_and_equal_those_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 700)
+    monkeypatch.setattr(pairs, "CHUNK", 64)
+    for make in (F.col("id"), F.concat(F.lit("é"), F.col("id").cast("string"))):
+        rec = spark.range(300).select(make.alias("id"), F.when(F.col("id") % 9 > 0, F.sqrt("id").cast("int")).alias("cluster"))
+        rec = rec.unionByName(rec.where("cluster = 4")).unionByName(rec.limit(2).withColumn("cluster", F.lit(99)).withColumn("id", F.lit(None)))
+        found = pairs.positive_pairs(rec)
+        assert "Join" not in plan_of(found) and "Exchange" not in plan_of(found)
+        got = sorted(map(tuple, found.collect()))
+        of = {x["id"]: x["cluster"] for x in rec.collect() if x["cluster"] is not None and x["id"] is not None}
+        assert got == sorted((a, b, 1) for a in of for b in of if a < b and of[a] == of[b])
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "AT_HAND", 0)
+            assert got == sorted(map(tuple, pairs.positive_pairs(rec).collect()))
+    assert pairs.positive_pairs(rec.where("cluster is null")).count() == pairs.positive_pairs(rec.limit(1)).count() == 0
+
+
 def test_negatives_come_from_arrays_and_equal_those_of_joins(spark, monkeypatch):
     monkeypatch.setattr(pairs, "PART", 4096, raising=False)
     monkeypatch.setattr(pairs, "CHUNK", 1000, raising=False)

@@ -22,8 +22,13 @@ def canonical_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-#: Records of one block of a cluster, about, and pairs of one task.
-PAIR_BLOCK, TASK_PAIRS = 1024, 2_000_000
+#: Records of one block of a cluster, about, pairs of one task, and the most tasks.
+PAIR_BLOCK, TASK_PAIRS, MOST_TASKS = 1024, 2_000_000, 10_000
+#: Records up to this many are at hand in every worker, which makes pairs of numbers by itself; beyond, numbers
+#: or blocks meet records by joins.  The rows are the same.
+AT_HAND = 1_000_000
+#: Places of a task of random numbers, and pairs or places that are made at once.
+PART, CHUNK = 1 << 22, 1 << 17
 
 
 def gold_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
@@ -31,11 +36,22 @@ def gold_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "clust
     The result is as large as the sum of the squares of the clusters: count with contingency tables where
     the pairs themselves aren't asked for.
 
-    A cluster is cut into blocks by hash; two blocks meet as one row of two arrays, and meetings are dealt out
-    over as many tasks as the count of pairs asks for.  Pairs are not shuffled, unless an id is in several
-    clusters."""
+    Up to AT_HAND records the workers hold the ids in the order of clusters and make pairs by arrays; beyond, and
+    where an id is in several clusters, blocks of clusters meet by joins.  Either way the pairs are dealt out over
+    as many tasks as their count asks for, and not shuffled unless an id is in several clusters."""
     r = records.where(F.col(cluster_col).isNotNull() & ~F.col(cluster_col).cast("string").startswith(ORPHAN) & F.col(id_col).isNotNull())
-    r = r.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("id")).distinct()
+    r = durable(r.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("id")).distinct())
+    unique = r.groupBy("id").count().where("count > 1").isEmpty()
+    if unique and r.count() <= AT_HAND:
+        return _pairs_at_hand(r)
+    both = _pairs_of_blocks(r)
+    # Pairs come more than once only where both ids are in more than one cluster.
+    return both if unique else both.where("a < b").distinct()
+
+
+def _pairs_of_blocks(r: DataFrame) -> DataFrame:
+    """The pairs of rows (c, id) of one c: a cluster is cut into blocks by hash, and two blocks meet as one row of
+    two arrays."""
     sizes = r.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2)).first()[0] or 0
     blocks = r.join(sizes, "c").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
@@ -43,13 +59,35 @@ def gold_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "clust
     blocks = durable(blocks.groupBy("c", "blocks", "i").agg(F.collect_list("id").alias("ids")))
     left = blocks.select("c", "i", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"), F.col("ids").alias("xs"))
     met = left.join(blocks.select("c", F.col("i").alias("j"), F.col("ids").alias("ys")), ["c", "j"]).select("i", "j", "xs", "ys")
-    met = met.repartition(max(1, min(10_000, round(total / TASK_PAIRS))))
+    met = met.repartition(max(1, min(MOST_TASKS, round(total / TASK_PAIRS))))
     both = met.select("i", "j", F.explode("xs").alias("x"), "ys").select("i", "j", "x", F.explode("ys").alias("y")).where("i < j or x < y")
-    both = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # Pairs come more than once only where both ids are in more than one cluster.
-    if r.groupBy("id").count().where("count > 1").isEmpty():
-        return both
-    return both.where("a < b").distinct()
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _pairs_at_hand(r: DataFrame) -> DataFrame:
+    """The same by arrays: records stand by cluster and id, and one has the numbers from its start for its pairs with
+    the later ones of its cluster.  A task makes the pairs of a stretch of numbers."""
+    spark, kind = r.sparkSession, r.schema["id"].dataType.simpleString()
+    sizes = r.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy("c").select("n").toArrow().column(0).to_numpy()
+    later = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum()) - 1
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(later, dtype=np.int64)])
+    total = int(starts[-1])
+    step = max(TASK_PAIRS, -(-total // MOST_TASKS))
+    ids = r.orderBy("c", "id").select("id").toArrow().column(0).combine_chunks()
+    shared = spark.sparkContext.broadcast((ids, starts))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, starts = shared.value
+        for first in (i for b in batches for i in b.column(0).to_pylist()):
+            end = min(first + step, total)
+            for at in range(first, end, CHUNK):
+                to = min(at + CHUNK, end)
+                k = np.arange(np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, to))
+                x = np.repeat(k, np.minimum(starts[k + 1], to) - np.maximum(starts[k], at))
+                y = x + 1 + np.arange(at, to) - starts[x]
+                yield pa.record_batch([ids.take(pa.array(x)), ids.take(pa.array(y))], names=["a", "b"])
+
+    return spark.range(0, total, step, max(1, -(-total // step))).mapInArrow(make, f"a {kind}, b {kind}")
 
 
 def positive_pairs(records: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> DataFrame:
@@ -129,13 +167,6 @@ def drawn(spark: SparkSession, m: int, size: int, seed: str) -> DataFrame:
         tries = min(1 << 2 * half, tries * 2)
 
 
-#: Records up to this many are at hand in every worker, which makes pairs of numbers by itself; beyond, numbers
-#: meet records by joins.  The rows are the same.
-AT_HAND = 1_000_000
-#: Places of a task, and those that are tried at once.
-PART, CHUNK = 1 << 22, 1 << 17
-
-
 def round_tables(half: int, seed: str) -> np.ndarray:
     """The round function of ``shuffled`` for every right half: a row for each round."""
     first = lambda i: b"".join([md5(b"%s:%d:%d" % (seed.encode(), i, r)).digest()[:4] for r in range(1 << half)])
