@@ -80,3 +80,56 @@ def test_broken_streams_raise():
         stream = whole[20:cut]
         with pytest.raises((EOFError, ValueError)):
             decode(b"RIFF" + (12 + len(stream)).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream)
+
+
+def test_many_values_are_written_as_one_by_one():
+    from weft.llm.webp import BitReader, BitWriter
+
+    widths = rng.integers(0, 65, 3000).astype(np.uint64)
+    values = np.array([int(v) & ((1 << int(n)) - 1) for v, n in zip(rng.integers(0, 1 << 64, 3000, dtype=np.uint64), widths, strict=True)], np.uint64)
+    many, single = BitWriter(), BitWriter()
+    for w in (many, single):
+        w.write(5, 3)
+    many.write_many(values, widths)
+    for v, n in zip(values.tolist(), widths.tolist(), strict=True):
+        single.write(v, n)
+    assert many.bytes() == single.bytes() and many.length == single.length
+    bits = BitReader(many.bytes())
+    assert bits.read(3) == 5 and [bits.look(at, n) for at, n in zip((3 + np.cumsum(widths) - widths).astype(int).tolist(), widths.astype(int).tolist(), strict=True)] == values.tolist()
+
+
+def test_code_lengths_are_least():
+    from heapq import heapify, heappop, heappush
+
+    from weft.llm.webp import code_lengths
+
+    for n in (2, 3, 40, 256):
+        for top in (2, 50, 10**6):
+            counts = rng.integers(0, top, n)
+            counts[:2] += 1
+            heap, cost = [int(c) for c in counts if c], 0
+            heapify(heap)
+            while len(heap) > 1:
+                joined = heappop(heap) + heappop(heap)
+                heappush(heap, joined)
+                cost += joined
+            lengths = code_lengths(counts, 40)
+            assert (counts * lengths).sum() == cost and ((lengths > 0) == (counts > 0)).all()
+            held = code_lengths(counts, 9)
+            assert held.max() <= 9 and (0.5 ** held[held > 0]).sum() == 1
+
+
+def test_calls_of_a_text_are_few(spark):
+    """The time of a short text goes by the calls made for it: 3,500 before codes were read and written by tables."""
+    import cProfile
+    import pstats
+
+    from weft.llm.webp import _read
+    from weft.session import table
+
+    payloads = [to_payload((r["text"] or "").encode()) for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").limit(300).collect()]
+    run = lambda: [_read(store(p)) for p in payloads]
+    run()
+    profile = cProfile.Profile()
+    profile.runcall(run)
+    assert pstats.Stats(profile).total_calls < 2500 * len(payloads)

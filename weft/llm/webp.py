@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache, cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +79,17 @@ class BitWriter:
         self.done: list[bytes] = []
 
     def write_many(self, values: np.ndarray, widths: np.ndarray) -> None:
-        """Each value in its number of bits, in order."""
-        values, widths = values.astype(np.int32), widths.astype(np.int32)
-        for at in range(0, len(values), 1 << 12):
-            v, w = values[at : at + (1 << 12)], widths[at : at + (1 << 12)]
-            ends = np.cumsum(w, dtype=np.int32)
-            place = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends - w, w)
-            bits = (np.repeat(v, w) >> place & 1).astype(np.uint8)
-            self.write(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
+        """Each value in its number of bits, 64 at most, in order; both are unsigned 64-bit numbers."""
+        ends = widths.cumsum()
+        starts = ends - widths
+        word, at = (starts >> np.uint64(6)).view(np.int64), starts & np.uint64(63)
+        out = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, "<u8")
+        # Of the values that start in a word only the last can reach into the next one.
+        cut = (word[1:] != word[:-1]).nonzero()[0]
+        first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(word) - 1]])
+        out[word.take(first)] = np.bitwise_or.reduceat(values << at, first)
+        out[word.take(last) + 1] |= values.take(last) >> np.uint64(1) >> (np.uint64(63) - at.take(last))
+        self.write(int.from_bytes(out.tobytes(), "little"), int(ends[-1]))
 
     def write(self, value: int, n: int) -> None:
         self.value |= value << self.n
@@ -107,36 +111,36 @@ class BitWriter:
 @cache
 def reversed_bits(n: int) -> np.ndarray:
     """The numbers of ``n`` bits, each with its bits in reverse."""
-    v, out = np.arange(1 << n, dtype=np.uint32), np.zeros(1 << n, np.uint32)
+    v, out = np.arange(1 << n), np.zeros(1 << n, np.int64)
     for i in range(n):
-        out |= (v >> np.uint32(i) & np.uint32(1)) << np.uint32(n - 1 - i)
+        out |= (v >> i & 1) << (n - 1 - i)
     return out
 
 
 # Prefix codes
 
-
 class PrefixCode:
     """A canonical code from its lengths.  ``flat`` is the length that all symbols share (0 for a single
     symbol), or None.  ``entries`` has symbol * 16 + length for every value of the next ``longest`` bits, and
     ``table`` the same as a list."""
 
-    def __init__(self, lengths: Sequence[int]):
-        n = np.array(lengths, np.uint8)
+    def __init__(self, lengths: bytes):
+        n = np.frombuffer(lengths, np.uint8)
         used = np.flatnonzero(n)
         if len(used) < 2:
             self.symbols = used.tolist() or [0]
             self.flat, self.longest, self.mask, self.entries = 0, 0, 0, np.array([self.symbols[0] << 4], np.int64)
             return
-        order = used[np.argsort(n[used], kind="stable")]
-        n = n[order].astype(np.int64)
-        if (1 << (15 - n)).sum() != 1 << 15:
+        order = used.take(n.take(used).argsort(kind="stable"))
+        n = n.take(order).astype(np.int64)
+        self.longest = int(n[-1])
+        share = 1 << (self.longest - n)
+        if self.longest > 15 or share.sum() != 1 << self.longest:
             raise ValueError("a prefix code isn't complete")
         self.symbols = order.tolist()
-        self.longest = int(n[-1])
         self.mask = (1 << self.longest) - 1
         self.flat = self.longest if n[0] == n[-1] else None
-        self.entries = np.repeat(order << 4 | n, 1 << (self.longest - n))[reversed_bits(self.longest)]
+        self.entries = (order << 4 | n).repeat(share).take(reversed_bits(self.longest))
 
     @cached_property
     def table(self) -> list[int]:
@@ -149,51 +153,70 @@ class PrefixCode:
 
 
 @lru_cache(maxsize=512)
-def prefix_code(lengths: tuple[int, ...]) -> PrefixCode:
+def prefix_code(lengths: bytes) -> PrefixCode:
     """Files of one writer share most of their codes."""
     return PrefixCode(lengths)
 
 
+@lru_cache(maxsize=4096)
+def short_code(alphabet: int, first: int, second: int) -> PrefixCode:
+    lengths = bytearray(alphabet)
+    lengths[first] = lengths[second] = 1
+    return PrefixCode(bytes(lengths))
+
+
+@lru_cache(maxsize=512)
+def length_reader(widths: int) -> PrefixCode:
+    """The code of code lengths, from its lengths of three bits each."""
+    lengths = bytearray(19)
+    for i, k in enumerate(LENGTH_ORDER):
+        lengths[k] = widths >> 3 * i & 7
+    return PrefixCode(bytes(lengths))
+
+
 def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
-    lengths = [0] * alphabet
-    if bits.read(1):
-        two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return prefix_code(tuple(lengths))
-    of_lengths = [0] * 19
-    for k in LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[k] = bits.read(3)
-    code = prefix_code(tuple(of_lengths))
+    if bits.peek(1):
+        v = bits.peek(19)
+        first, n = (v >> 3 & 255, 11) if v & 4 else (v >> 3 & 1, 4)
+        second = v >> n & 255 if v & 2 else first
+        bits.at += n + (8 if v & 2 else 0)
+        bits.read(0)
+        return short_code(alphabet, first, second)
+    bits.read(1)
+    n = 4 + bits.read(4)
+    code = length_reader(bits.look(bits.at, 3 * n))
+    bits.at += 3 * n
+    bits.read(0)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    lengths = bytearray(alphabet)
     table, mask = code.table, code.mask
     i, previous, window, have = 0, 8, 0, 0
     while i < alphabet and left > 0:
         left -= 1
         if have < 14:
             bits.at -= have
-            window, have = bits.ahead(64)
+            window, have = bits.ahead(16)
         e = table[window & mask]
-        n, s = e & 15, e >> 4
+        n = e & 15
         window >>= n
         have -= n
-        if s < 16:
-            lengths[i] = s
+        if e < 256:
+            if e >= 16:
+                lengths[i] = previous = e >> 4
             i += 1
-            previous = s or previous
             continue
-        extra, least, value = ((2, 3, previous), (3, 3, 0), (7, 11, 0))[s - 16]
+        extra, least, value = ((2, 3, previous), (3, 3, 0), (7, 11, 0))[(e >> 4) - 16]
         n = least + (window & ((1 << extra) - 1))
         window >>= extra
         have -= extra
         if i + n > alphabet:
             raise ValueError("code lengths run over the alphabet")
-        lengths[i : i + n] = [value] * n
+        if value:
+            lengths[i : i + n] = bytes((value,)) * n
         i += n
     bits.at -= have
     bits.read(0)
-    return prefix_code(tuple(lengths))
+    return prefix_code(bytes(lengths))
 
 
 def read_codes(bits: BitReader, alphabets: Sequence[int]) -> list[PrefixCode]:
@@ -261,48 +284,62 @@ def back_distance(code: int, width: int) -> int:
 def _before(keys: np.ndarray) -> np.ndarray:
     """For each place the last one before it with the same key, or -1."""
     order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    out = np.full(len(keys), -1, np.int64)
-    out[order[1:][same]] = order[:-1][same]
+    sorted_keys = keys.take(order)
+    same = (sorted_keys[1:] == sorted_keys[:-1]).nonzero()[0]
+    out = np.full(len(keys), -1)
+    out[order.take(same + 1)] = order.take(same)
     return out
 
 
 #: Bits that are looked at together, and how much further a token may reach that starts among them.
-STRETCH, BEYOND = 1 << 14, 128
+STRETCH, BEYOND = 1 << 15, 128
 
 
 class Stretch:
     """A stretch of the stream, looked up as if a token began at every bit of it.
 
-    ``step`` says where the next token begins, or -1 for a back-reference."""
-
-    def __init__(self, raw: np.ndarray, codes: list[PrefixCode]):
-        windows = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8, dtype=np.int64)).ravel()
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for c in codes[:4]:
-            if id(c) not in seen:
-                entries = c.entries[windows & c.mask]
-                seen[id(c)] = entries, entries & 15
-        self.looked = [seen[id(c)] for c in codes[:4]]
-        green, width = self.looked[0]
-        self.at = [np.arange(len(windows)) + width]
-        for _, width in self.looked[1:]:
-            self.at.append(self.at[-1] + width.take(self.at[-1], mode="clip"))
-        self.other = np.flatnonzero(green >= 256 << 4)
-        step = self.at[-1].copy()
-        step[self.other] = np.where(green[self.other] < 280 << 4, -1, self.at[0][self.other])
+    ``step`` says where the next token begins; it is -1 for a back-reference and beyond ``end``."""
+
+    def __init__(self, raw: np.ndarray, tables: list[np.ndarray], end: int):
+        self.tables = tables
+        self.windows = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8)).ravel()
+        self.windows &= len(tables[0]) - 1
+        here = np.arange(len(self.windows))
+        green = tables[0].take(self.windows)
+        self.other = (green >= 256 << 4).nonzero()[0]
+        kind = green.take(self.other) < 280 << 4
+        green &= 15
+        green += here
+        # Where a symbol of each code ends that begins at a bit.
+        seen: dict[int, np.ndarray] = {}
+        for t in tables[1:]:
+            if id(t) not in seen:
+                seen[id(t)] = ends = (t & 15).take(self.windows)
+                ends += here
+        self.green, (self.red, self.blue, alpha) = green, (seen[id(t)] for t in tables[1:])
+        step = alpha.take(self.blue, mode="clip").take(self.red, mode="clip").take(green, mode="clip")
+        step[self.other] = np.where(kind, -1, green.take(self.other))
+        step[end + 1 :] = -1
         self.step = memoryview(step)
 
     def values(self, places: list[int]) -> np.ndarray:
         """Of the tokens that begin at ``places``: the pixel, or -1 - place for one from the colour cache."""
-        k = np.array(places, np.int64)
-        symbol = self.looked[0][0][k] >> 4
+        at = np.array(places, np.int64)
+        symbol = self.tables[0].take(self.windows.take(at)) >> 4
         value = symbol << 8
-        for at, (entries, _), shift in zip(self.at, self.looked[1:], (16, 0, 24), strict=False):
-            value |= entries.take(at[k], mode="clip") >> 4 << shift
+        for t, before, shift in zip(self.tables[1:], (self.green, self.red, self.blue), (16, 0, 24), strict=True):
+            at = before.take(at, mode="clip")
+            value |= t.take(self.windows.take(at, mode="clip")) >> 4 << shift
         return np.where(symbol < 256, value, 279 - symbol) if len(self.other) else value
 
 
+def aligned(codes: list[PrefixCode]) -> list[np.ndarray]:
+    """The entries of the codes, all for the same number of bits; a code that stands twice gives one table."""
+    longest = max(c.longest for c in codes)
+    seen = {id(c): c.entries if c.longest == longest else np.tile(c.entries, 1 << (longest - c.longest)) for c in codes}
+    return [seen[id(c)] for c in codes]
+
+
 def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int, cache_bits: int, tally: Counter | None) -> np.ndarray:
     """Pixels of an image with one group of codes.
 
@@ -312,23 +349,28 @@ def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int,
     that place in the cache."""
     values: list[np.ndarray] = []
     copies: list[tuple[int, int, int]] = []
+    tables = aligned(codes[:4])
     i = 0
     while i < total:
         first = bits.at >> 3
         raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (STRETCH + BEYOND) // 8), first).astype(np.int64)
         last = first + len(raw) == len(bits.data)
-        stretch = Stretch(raw, codes)
-        step = stretch.step
         here, end = bits.at & 7, 8 * (len(raw) - 8) if last else STRETCH
+        stretch = Stretch(raw, tables, end)
+        step = stretch.step
         places: list[int] = []
         walk = places.append
-        while i < total and here <= end:
-            n = step[here]
-            if n >= 0:
+        while i < total:
+            before = len(places)
+            for _ in repeat(None, total - i):
+                n = step[here]
+                if n < 0:
+                    break
                 walk(here)
                 here = n
-                i += 1
-                continue
+            i += len(places) - before
+            if i >= total or here > end:
+                break
             bits.at = first * 8 + here
             n = read_extra(bits, codes[0].read(bits) - 256)
             d = back_distance(read_extra(bits, codes[4].read(bits)), width)
@@ -352,7 +394,7 @@ def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int,
         slots[hits] = -1 - own[hits]
         for i, n, _ in copies:
             slots[i : i + n] = slots[refers[i : i + n]]
-        before = _before(slots)
+        before = _before(slots.astype(np.uint16))
         known = hits & (before >= 0)
         refers[known] = before[known]
         own[hits] = 0
@@ -360,11 +402,11 @@ def one_group(bits: BitReader, codes: list[PrefixCode], width: int, total: int,
         tally["back-references"] += len(copies)
         tally["colour cache"] += int(hits.sum())
     while copies or hits.any():
-        further = refers[refers]
+        further = refers.take(refers)
         if (further == refers).all():
             break
         refers = further
-    return own[refers].astype(np.uint32)
+    return own.take(refers).astype(np.uint32)
 
 
 def read_image(bits: BitReader, width: int, height: int, main: bool, tally: Counter | None = None) -> np.ndarray:
@@ -610,8 +652,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def cross_color(p: np.ndarray, width: int, factors: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """Red and blue with the shares of green (and blue with that of red) added, or taken off (sign -1)."""
     height = len(p) // width
-    f = factors.reshape(-(-height >> bits), -(-width >> bits))
-    f = np.repeat(np.repeat(f, 1 << bits, axis=0)[:height], 1 << bits, axis=1)[:, :width].ravel()
+    f = factors
+    if len(f) > 1:
+        f = factors.reshape(-(-height >> bits), -(-width >> bits))
+        f = np.repeat(np.repeat(f, 1 << bits, axis=0)[:height], 1 << bits, axis=1)[:, :width].ravel()
     green, red, blue = (p >> np.uint32(s) & np.uint32(255) for s in (8, 16, 0))
     delta = lambda t, c: (_signed(t & np.uint32(255)) * _signed(c)) >> 5
     new_red = (red.astype(np.int32) + sign * delta(f, green)) & 255
@@ -704,86 +748,99 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
         return lengths
     order = np.argsort(counts[used], kind="stable")
     of, n = counts[used][order].tolist(), len(used)
+    never = sum(of) * n + limit
     floor = 1
     while True:
         # Leaves and joined nodes both come in ascending order: the two least are at the head of either.
-        weight = of if floor == 1 else [max(c, floor) for c in of]
-        joined, up = [], [0] * (2 * n - 2)
+        weight = [*(of if floor == 1 else [max(c, floor) for c in of]), never * floor]
+        joined, up = [never * floor] * n, [0] * (2 * n - 2)
         leaf = node = 0
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf < n and (node >= len(joined) or weight[leaf] <= joined[node]):
-                    total += weight[leaf]
-                    up[leaf] = k
-                    leaf += 1
-                else:
-                    total += joined[node]
-                    up[n + node] = k
-                    node += 1
-            joined.append(total)
-        depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[up[i]] + 1
-        if depth[0] <= limit:
-            lengths[used[order]] = depth[:n]
+        for k in range(n - 1):
+            if (x := weight[leaf]) <= (y := joined[node]):
+                up[leaf] = k
+                leaf += 1
+                total = x
+            else:
+                up[n + node] = k
+                node += 1
+                total = y
+            if (x := weight[leaf]) <= (y := joined[node]):
+                up[leaf] = k
+                leaf += 1
+                total += x
+            else:
+                up[n + node] = k
+                node += 1
+                total += y
+            joined[k] = total
+        inner = [0] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            inner[k] = inner[up[n + k]] + 1
+        if inner[up[0]] < limit:
+            lengths[used[order]] = [inner[k] + 1 for k in up[:n]]
             return lengths
         floor *= 2
 
 
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits as written, number of bits) by symbol; nothing is written for a single one."""
-    lengths = np.asarray(lengths)
-    code, width = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
+    """(bits as written, number of bits) by symbol; nothing is written for a single one, and for the symbol after
+    the last."""
+    code, width = np.zeros(len(lengths) + 1, np.uint64), np.zeros(len(lengths) + 1, np.uint64)
+    used = lengths.nonzero()[0]
     if len(used) > 1:
-        order = used[np.argsort(lengths[used], kind="stable")]
-        n = lengths[order]
-        ends = np.cumsum(1 << (15 - n))
-        code[order], width[order] = reversed_bits(15)[ends - (1 << (15 - n))], n
+        n = lengths.take(used).astype(np.uint8)  # small numbers are sorted by their digits
+        order = used.take(n.argsort(kind="stable"))
+        n = lengths.take(order)
+        share = 1 << (15 - n)
+        code[order], width[order] = reversed_bits(15).take(share.cumsum() - share), n
     return code, width
 
 
 def describe_code(lengths: np.ndarray) -> tuple[int, int]:
     """A code's description: its bits and their number."""
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and all(s < 256 for s in used):
-        first = used[0] if used else 0
-        value, at = 1 | (len(used) == 2) << 1 | (first > 1) << 2 | first << 3, 11 if first > 1 else 4
-        return (value | used[1] << at, at + 8) if len(used) == 2 else (value, at)
-    edges = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
-    starts = [0, *edges.tolist()]
-    symbols: list[int] = []
-    extra: list[int] = []  # what follows a symbol, in EXTRA_BITS bits
-    for n, at, end in zip(lengths[starts].tolist(), starts, [*starts[1:], len(lengths)], strict=True):
-        left = end - at
-        if n:
-            symbols.append(n)
-            extra.append(0)
-            left -= 1
-            while left >= 3:
-                k = min(left, 6)
-                symbols.append(16)
-                extra.append(k - 3)
-                left -= k
-        else:
-            while left >= 11:
-                k = min(left, 138)
-                symbols.append(18)
-                extra.append(k - 11)
-                left -= k
-            if left >= 3:
-                symbols.append(17)
-                extra.append(left - 3)
-                left = 0
-        if left:
-            symbols += [n] * left
-            extra += [0] * left
-    value, at, code, width = length_code(int(lengths.max()) > 10)
-    for s, v in zip(symbols, extra, strict=True):
+    small = lengths.astype(np.uint8)
+    raw = small.tobytes()
+    if len(raw) - raw.count(0) <= 2:
+        used = lengths.nonzero()[0].tolist()
+        if all(s < 256 for s in used):
+            first = used[0] if used else 0
+            value, at = 1 | (len(used) == 2) << 1 | (first > 1) << 2 | first << 3, 11 if first > 1 else 4
+            return (value | used[1] << at, at + 8) if len(used) == 2 else (value, at)
+    long = int(lengths.max()) > 10
+    edges = ((small[1:] != small[:-1]).nonzero()[0] + 1).tolist()
+    runs = [described_run(raw[i:j], long) for i, j in zip([0, *edges], [*edges, len(raw)], strict=True)]
+    runs.reverse()
+    text = "".join(runs)
+    value, at, _, _ = length_code(long)
+    return value | int(text, 2) << at, at + len(text)
+
+
+@cache
+def described_run(run: bytes, long: bool) -> str:
+    """The digits, last bit first, that stand for equal lengths in a row, after others."""
+    n, left = run[0], len(run)
+    symbols: list[tuple[int, int]] = []  # with what follows a symbol, in EXTRA_BITS bits
+    if n:
+        symbols.append((n, 0))
+        left -= 1
+        while left >= 3:
+            k = min(left, 6)
+            symbols.append((16, k - 3))
+            left -= k
+    else:
+        while left >= 11:
+            k = min(left, 138)
+            symbols.append((18, k - 11))
+            left -= k
+        if left >= 3:
+            symbols.append((17, left - 3))
+            left = 0
+    symbols += [(n, 0)] * left
+    value, at, (_, _, code, width) = 0, 0, length_code(long)
+    for s, v in symbols:
         value |= (code[s] | v << width[s]) << at
         at += width[s] + EXTRA_BITS[s]
-    return value, at
+    return f"{value:0{at}b}"
 
 
 @cache
@@ -866,37 +923,31 @@ def write_image(w: BitWriter, p: np.ndarray, width: int, main: bool, cache_bits:
     literal = np.ones(len(p), bool)
     for i, n, _ in copies:
         literal[i + 1 : i + n] = False
-    at = np.flatnonzero(literal)
-    channel = p[at].view(np.uint8).reshape(-1, 4).astype(np.int64)  # blue, green, red, alpha
-    # A token: its green symbol, then red, blue and alpha, or the extra bits and distance of a copy.
-    is_copy, hit = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    green = channel[:, 1].copy()
-    spare, spare_bits, far, far_bits = (np.zeros(len(at), np.int64) for _ in range(4))
-    distance = np.full(len(at), -1)
+    # A token: its green symbol, then red, blue and alpha, or the extra bits and distance of a copy, or nothing.
+    at = literal.nonzero()[0]
+    channels = p.take(at).view(np.uint8).reshape(-1, 4).T  # blue, green, red, alpha
+    green, rest = channels[1].astype(np.int64), channels.take((2, 0, 3), axis=0).astype(np.int64)
+    backs = np.zeros(0, np.int64)
     if copies:
-        k = np.searchsorted(at, [c[0] for c in copies])
-        is_copy[k] = True
+        placed = np.searchsorted(at, [c[0] for c in copies])
         short = short_distances(width)
-        lengths, backs = [to_prefix(n) for _, n, _ in copies], [to_prefix(short.get(d, d + 120)) for _, _, d in copies]
-        green[k], spare[k], spare_bits[k] = (np.array(c) for c in zip(*[(256 + a, b, c) for a, b, c in lengths], strict=True))
-        distance[k], far[k], far_bits[k] = (np.array(c) for c in zip(*backs, strict=True))
+        sizes, spare, spare_bits = np.array([to_prefix(n) for _, n, _ in copies]).T
+        backs, far, far_bits = np.array([to_prefix(short.get(d, d + 120)) for _, _, d in copies]).T
+        green[placed] = 256 + sizes
+        rest[:, placed] = 256
     if cache_bits:
         slots = (p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)
-        before = _before(slots)
-        known = (before >= 0) & (p[before] == p)
-        hit = known[at] & ~is_copy
-        green[hit] = 280 + slots[at][hit]
-    pixel = ~is_copy & ~hit
+        before = _before(slots.astype(np.uint16))
+        hit = (((before >= 0) & (p.take(before) == p)).take(at) & (green < 256)).nonzero()[0]
+        green[hit] = 280 + slots.take(at.take(hit))
+        rest[:, hit] = 256
     w.write(1 if cache_bits else 0, 1)
     if cache_bits:
         w.write(cache_bits, 4)
     if main:
         w.write(0, 1)
-    red, blue, alpha = channel[:, 2], channel[:, 0], channel[:, 3]
-    counts = [np.bincount(green, minlength=280 + (1 << cache_bits if cache_bits else 0))]
-    counts += [np.bincount(c[pixel], minlength=256) for c in (red, blue, alpha)] + [np.bincount(distance[is_copy], minlength=40)]
-    if shared:
-        counts[1:4] = [counts[1] + counts[2] + counts[3]] * 3
+    of_rest = [np.bincount(rest.ravel(), minlength=257)[:256]] * 3 if shared else [np.bincount(c, minlength=257)[:256] for c in rest]
+    counts = [np.bincount(green, minlength=280 + (1 << cache_bits if cache_bits else 0)), *of_rest, np.bincount(backs, minlength=40)]
     tables: list[tuple[np.ndarray, np.ndarray]] = []
     for k, c in enumerate(counts):
         if k not in (2, 3) or not shared:
@@ -908,12 +959,15 @@ def write_image(w: BitWriter, p: np.ndarray, width: int, main: bool, cache_bits:
                 described, table = describe_code(lengths), canonical(lengths)
         w.write(*described)
         tables.append(table)
-    (gc, gw), (rc, rw), (bc, bw), (ac, aw), (dc, dw) = tables
-    far_symbol = np.maximum(distance, 0)
-    pick = lambda a, b: np.where(pixel, a, np.where(is_copy, b, 0))
-    values = np.stack([gc[green], pick(rc[red], spare), pick(bc[blue], dc[far_symbol]), pick(ac[alpha], far)], 1)
-    widths = np.stack([gw[green], pick(rw[red], spare_bits), pick(bw[blue], dw[far_symbol]), pick(aw[alpha], far_bits)], 1)
-    w.write_many(values.ravel(), widths.ravel())
+    tokens, bits = (t.take(green) for t in tables[0])
+    for symbols, (code, n) in zip(rest, tables[1:4], strict=True):
+        tokens |= code.take(symbols) << bits
+        bits += n.take(symbols)
+    if copies:
+        for value, n in ((spare, spare_bits), (t.take(backs) for t in tables[4]), (far, far_bits)):
+            tokens[placed] |= value.astype(np.uint64) << bits[placed]
+            bits[placed] += n.astype(np.uint64)
+    w.write_many(tokens, bits)
 
 
 def wrap(stream: bytes) -> bytes:
@@ -1024,9 +1078,11 @@ def load(media: bytes, tally: Counter | None = None) -> np.ndarray:
 def feature(samples: np.ndarray) -> str:
     """Mean and deviation of the bytes and which of 64 equal stretches are above the whole's mean."""
     total = samples.size
-    mean = samples.sum(dtype=np.int64) / total
+    parts = samples.reshape(64, -1).sum(axis=1, dtype=np.int64)
+    whole = int(parts.sum())
+    mean = whole / total
     square = np.square(samples, dtype=np.uint16).sum(dtype=np.int64) / total
-    bright = samples.reshape(64, -1).sum(axis=1, dtype=np.int64) * 64 > samples.sum(dtype=np.int64)
+    bright = parts * 64 > whole
     return f"{mean:.4f}:{max(0.0, square - mean * mean) ** 0.5:.4f}:{np.packbits(bright).tobytes().hex()}"
 
 
